@@ -24,8 +24,8 @@ from foretide.llm.common import table, whole_text
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the characters of Unicode's White_Space property, which the pattern's \s stands for.
 WHITE_SPACE = r"\t-\r \x85\xa0  -     　"
-#: Encoded pieces and joins that a Python worker remembers; beyond it starts anew, so memory stays bounded.
-REMEMBERED = 300_000
+#: Encoded words and windows that a Python worker remembers; beyond it starts anew, so memory stays bounded.
+REMEMBERED = 800_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -33,26 +33,51 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+class Words(dict):
+    """Ids of what lies between two single spaces, with the space before it, by what lies there; filled as asked."""
+
+    def __init__(self, encoder: Encoder) -> None:
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, word: str) -> bytes:
+        if not word or word[0].isspace() or word[-1].isspace():
+            raise NotApart
+        packed = self.encoder.cut(" " + word)
+        if len(word) <= 64:
+            self[word] = packed
+        return packed
+
+
+class NotApart(Exception):
+    """White space touches the space at which a text was to be cut."""
+
+
 class Encoder:
     """Encodes texts by merge ranks; keeps what it has encoded."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN) -> None:
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
+        self.id_of = {b: i.to_bytes(4, "little") for b, i in ranks.items()}
         inner = pattern.replace(r"[^\s", f"[^{WHITE_SPACE}").replace(r"\S", f"[^{WHITE_SPACE}]").replace(r"\s", f"[{WHITE_SPACE}]")
         self.pieces = regex.compile(inner).findall
         self.known: dict[bytes, tuple[bytes, ...]] = {}
-        self.packed: dict[str, bytes] = {}
+        self.words = Words(self)
 
     def merged(self, data: bytes) -> list[bytes]:
         """The merges one after the other, lowest rank first: for the few bytes of a window."""
+        none, rank = 1 << 31, self.ranks.get
         parts = [data[i : i + 1] for i in range(len(data))]
-        rank = self.ranks.get
-        while len(parts) > 1:
-            best, at = min((rank(a + b, 1 << 31), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if best == 1 << 31:
-                break
+        pairs = [rank(data[i : i + 2], none) for i in range(len(data) - 1)]
+        while pairs and (best := min(pairs)) < none:
+            at = pairs.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = rank(parts[at - 1] + parts[at], none)
+            if at < len(pairs):
+                pairs[at] = rank(parts[at] + parts[at + 1], none)
         return parts
 
     def window(self, tokens: tuple[bytes, ...]) -> tuple[bytes, ...]:
@@ -63,16 +88,18 @@ class Encoder:
 
     def join(self, left: tuple[bytes, ...], right: tuple[bytes, ...]) -> tuple[bytes, ...]:
         """The encoding of both texts in a row, from their encodings."""
-        i, j = 1, 1
+        i, j, seam = 1, 1, (left[-1], right[0])
+        if (new := self.window(seam)) == seam:
+            return left + right
         while True:
-            new = self.window(left[len(left) - i :] + right[:j])
             far_left, far_right = left[: len(left) - i], right[j:]
-            stable_left = not far_left or self.window((far_left[-1], new[0])) == (far_left[-1], new[0])
-            stable_right = not far_right or self.window((new[-1], far_right[0])) == (new[-1], far_right[0])
+            stable_left = not far_left or self.window(seam := (far_left[-1], new[0])) == seam
+            stable_right = not far_right or self.window(seam := (new[-1], far_right[0])) == seam
             if stable_left and stable_right:
                 return far_left + new + far_right
             i += not stable_left
             j += not stable_right
+            new = self.window(left[len(left) - i :] + right[:j])
 
     def tree(self, data: bytes) -> tuple[bytes, ...]:
         if (found := self.known.get(data)) is not None:
@@ -82,28 +109,32 @@ class Encoder:
         else:
             half = len(data) // 2
             found = self.join(self.tree(data[:half]), self.tree(data[half:]))
-        if len(data) <= 64:
+        if len(data) <= 12:
             self.known[data] = found
         return found
 
-    def piece(self, text: str) -> bytes:
-        """The ids of one piece, as little-endian unsigned 32-bit numbers."""
-        data = text.encode("utf-8", "surrogatepass")
-        whole = self.ranks.get(data)
-        ids = [whole] if whole is not None else [self.ranks[t] for t in self.tree(data)]
-        packed = np.array(ids, "<u4").tobytes()
-        if len(data) <= 256:
-            self.packed[text] = packed
-        return packed
+    def cut(self, text: str) -> bytes:
+        """The ids of a text, piece by piece, as little-endian unsigned 32-bit numbers."""
+        out, whole, tokens = [], self.id_of.get, self.id_of.__getitem__
+        for piece in self.pieces(text):
+            data = piece.encode()
+            out.append(whole(data) or b"".join(map(tokens, self.tree(data))))
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
-        if len(self.packed) > REMEMBERED:
-            self.packed.clear()
+        """No piece of the pattern goes on behind a single space that stands between other characters: the text is cut
+        there first. Texts with more white space in one place are cut by the pattern alone."""
+        if len(self.words) > REMEMBERED:
+            self.words.clear()
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        pieces = self.pieces(text)
-        get = self.packed.get
-        return b"".join([get(p) or self.piece(p) for p in pieces])
+        first, *rest = text.split(" ")
+        if rest and (not first or first[-1].isspace()):
+            return self.cut(text)
+        try:
+            return self.cut(first) + b"".join(map(self.words.__getitem__, rest))
+        except NotApart:
+            return self.cut(text)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
