@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foretide.llm import bpe, exact_dedup, line_dedup, packing, simhash
+from foretide.llm import bpe, exact_dedup, language_id, line_dedup, lm, packing, pii, simhash, suffix_array, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": suffix_array.op1_suffix_dedup,
+    "op2_lm_scoring": lm.op2_lm_scoring,
+    "op3_language_id": language_id.op3_language_id,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_packing": packing.op6_packing,
     "op7_simhash": simhash.op7_simhash,
+    "op8_topk": topk.op8_topk,
+    "op9_pii": pii.op9_pii,
     "op10_bpe": bpe.op10_bpe,
 }
-ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": exact_dedup.OP4_SQL, "op5_line_dedup": line_dedup.OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": exact_dedup.OP4_SQL, "op5_line_dedup": line_dedup.OP5_SQL, "op8_topk": topk.OP8_SQL}
