@@ -25,7 +25,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the characters of Unicode's White_Space property, which the pattern's \s stands for.
 WHITE_SPACE = r"\t-\r \x85\xa0  -     　"
 #: Encoded words and windows that a Python worker remembers; beyond it starts anew, so memory stays bounded.
-REMEMBERED = 800_000
+REMEMBERED = 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -126,7 +126,7 @@ class Encoder:
         there first. Texts with more white space in one place are cut by the pattern alone."""
         if len(self.words) > REMEMBERED:
             self.words.clear()
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED // 2:
             self.known.clear()
         first, *rest = text.split(" ")
         if rest and (not first or first[-1].isspace()):
