@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foretide.llm.common import LOWER, SPACE, UPPER, ascii_lower, table, whole_text
+from foretide.llm.common import LOWER, SPACE, UPPER, ascii_lower, checkpointed, table, whole_text
 
 MIN_KEY = 10
 _LOWERED = str.maketrans(UPPER, LOWER)
@@ -32,7 +32,7 @@ def shared_lines(docs: DataFrame, min_key: int = MIN_KEY) -> tuple[DataFrame, Da
     lines = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.explode(keys).alias("key"))
     lines = lines.filter(F.char_length("key") >= min_key).select("id", F.unhex(F.md5(F.col("key").cast("binary"))).alias("hash"))
     ends = lines.groupBy("hash").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    return lines, ends.filter("first < last").select("hash", "first")
+    return lines, checkpointed(ends.filter("first < last").select("hash", "first"))
 
 
 @F.pandas_udf("struct<text:string,n_lines:long,n_dropped:long>")
