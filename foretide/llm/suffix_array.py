@@ -15,11 +15,14 @@ partial sums. Both ways are exact and cover all occurrences.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -210,25 +213,38 @@ def repeated_anchors(texts: DataFrame, length: int = LENGTH, piece: int = PIECE)
     return materialised(seen.filter("n > 1").select("hash", "n", (F.col("low") != F.col("high")).alias("mixed")))
 
 
-def _filters(repeated: DataFrame, together: int, bits: int) -> list[np.ndarray]:
-    """Bit arrays of the hashes that are repeated, mixed, and mixed and frequent; sent to the driver as at most 2^bits / 64 words."""
+def _as_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's rows of four numbers as one compressed value."""
+    rows = [np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) for batch in batches]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.concatenate(rows, axis=1).tobytes(), 1)], pa.binary())], ["data"])
+
+
+def _filters(repeated: DataFrame, together: int, bits: int) -> bytes:
+    """Bit arrays of the hashes that are repeated, mixed, and mixed and frequent, compressed. The driver gets at most 2^bits / 64 words
+    of each, a task's at a time."""
     at = F.col("hash").bitwiseAND(F.lit((1 << bits) - 1))
     bit = F.expr("shiftleft(1L, CAST(hash & 63 AS INT))")
     kinds = [F.lit(True), F.col("mixed"), F.col("mixed") & (F.col("n") > together)]
-    words = repeated.groupBy(F.shiftright(at, 6).alias("word")).agg(*[F.bit_or(F.when(k, bit).otherwise(F.lit(0).cast("long"))).alias(f"k{i}") for i, k in enumerate(kinds)]).toPandas()
-    out = []
-    for i in range(len(kinds)):
-        held = np.zeros(1 << (bits - 6), np.int64)
-        held[words["word"].to_numpy(np.int64)] = words[f"k{i}"].to_numpy(np.int64)
-        out.append(held)
-    return out
+    words = repeated.groupBy(F.shiftright(at, 6).alias("word")).agg(*[F.bit_or(F.when(k, bit).otherwise(F.lit(0).cast("long"))).alias(f"k{i}") for i, k in enumerate(kinds)])
+    held = np.zeros((len(kinds), 1 << (bits - 6)), np.int64)
+    for row in words.mapInArrow(_as_one, "data binary").toLocalIterator():
+        word, *values = np.frombuffer(zlib.decompress(row.data), np.int64).reshape(len(kinds) + 1, -1)
+        held[:, word] = values
+    return zlib.compress(held.tobytes(), 1)
+
+
+@lru_cache(maxsize=1)
+def _bit_arrays(filters: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(filters), np.int64).reshape(3, -1)
 
 
 _FOUND = "doc_id long, same long, hash long, around long, first long, last long, place long, route int, context binary"
 
 
-def _repeated(filters: list[np.ndarray], bits: int, length: int, piece: int):
+def _repeated(filters: bytes, bits: int, length: int, piece: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrays = _bit_arrays(filters)
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 columns: list[list] = [[] for _ in range(9)]
@@ -237,13 +253,14 @@ def _repeated(filters: list[np.ndarray], bits: int, length: int, piece: int):
                     h, first, last, place, around = anchors(data, length, piece)
                     h = h.view(np.int64)
                     word, bit = (h & ((1 << bits) - 1)) >> 6, h & 63
-                    held = [(f[word] >> bit) & 1 for f in filters]
+                    held = [(f[word] >> bit) & 1 for f in arrays]
                     kept = np.flatnonzero(held[0])
                     route = (held[1] + held[2])[kept].tolist()
                     n = len(kept)
                     a, b = first[kept].tolist(), last[kept].tolist()
                     contexts = [data[x : y + length] if r else None for x, y, r in zip(a, b, route, strict=True)]
-                    for c, values in zip(columns, ([doc] * n, [same] * n, h[kept].tolist(), around.view(np.int64)[kept].tolist(), a, b, place[kept].tolist(), route, contexts), strict=True):
+                    near = [x if r == 2 else None for x, r in zip(around.view(np.int64)[kept].tolist(), route, strict=True)]
+                    for c, values in zip(columns, ([doc] * n, [same] * n, h[kept].tolist(), near, a, b, place[kept].tolist(), route, contexts), strict=True):
                         c += values
                 kinds = [*[pa.int64()] * 7, pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "same", "hash", "around", "first", "last", "place", "route", "context"])
@@ -388,7 +405,7 @@ def _often(found: DataFrame, length: int) -> DataFrame:
     """What is covered at anchors that occur very often. Equal surroundings count once, with their number."""
     frequent = found.filter("route = 2")
     kinds = frequent.groupBy("hash", "around").agg(F.max(F.col("place") - F.col("first")).alias("rel"), F.count(F.lit(1)).alias("n"), F.max("context").alias("context"))
-    windows = materialised(kinds.mapInArrow(_windows(length), "hash long, around long, offset long, window long, n long"))
+    windows = materialised(kinds).mapInArrow(_windows(length), "hash long, around long, offset long, window long, n long")
     shared = windows.groupBy("hash", "offset", "window").agg(F.sum("n").alias("n")).filter("n > 1").drop("n")
     hit = windows.drop("n").join(materialised(shared), ["hash", "offset", "window"])
     hit = materialised(hit.groupBy("hash", "around").agg(F.sort_array(F.collect_list("offset")).alias("offsets")))
@@ -411,13 +428,24 @@ def covered(docs: DataFrame, length: int = LENGTH, piece: int = PIECE, together:
     return plain.unionByName(sorted_).unionByName(_often(found, length))
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of whole documents are shuffled once, and compressed for it."""
+    compress = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        for at in range(0, batch.num_rows, 128):
+            part = batch.slice(at, 128)
+            data = [compress(t.encode("utf-8", "surrogatepass")) for t in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(data, pa.binary())], ["doc_id", "key", "data"])
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    expand = zstandard.ZstdDecompressor().decompress
     spans_of = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
     for batch in batches:
         for at in range(0, batch.num_rows, 128):
             part, spans, kept, n_bytes = batch.slice(at, 128), [], [], []
-            for text, ranges in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                data, merged = text.encode("utf-8", "surrogatepass"), []
+            for packed, ranges in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                data, merged = expand(packed), []
                 for r in sorted((r["start"], r["stop"]) for r in ranges or []):
                     if merged and r[0] <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], r[1])
@@ -441,9 +469,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, piece: int = PIECE, to
     ranges = covered(docs, length, piece, together, bits)
     ranges = ranges.groupBy("same", "doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
     # Equal rows get equal ranges, so that a null doc_id may meet itself as well.
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), F.xxhash64(whole_text()).alias("key"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("key"), whole_text().alias("text"))
+    texts = texts.mapInArrow(_packed, "doc_id long, key long, data binary")
     ranges = ranges.select("same", F.col("doc_id").alias("of"), "ranges")
-    met = texts.join(ranges, (F.col("key") == F.col("same")) & F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "text", "ranges")
+    met = texts.join(ranges, (F.col("key") == F.col("same")) & F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "data", "ranges")
     return met.mapInArrow(_cut, "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
 
 
