@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words of clubs' names that say nothing.
 CLUB_TOKENS = (
@@ -30,14 +31,14 @@ YOUTH = ("youth", "junior", "juniors", "reserves", "reserve", "academy")
 CANCELLED = "postpon|cancel|abandon|report|annul"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def folded(text: pd.Series) -> pd.Series:
     """Compatibility forms apart, without combining marks, in lower case."""
     plain = lambda t: "".join(c for c in unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", t)) if not unicodedata.combining(c)).lower()
     return text.map(plain, na_action="ignore")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio (X06); equal pairs of a batch are compared once."""
     known: dict[tuple, float | None] = {}

@@ -25,7 +25,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the characters of Unicode's White_Space property, which the pattern's \s stands for.
 WHITE_SPACE = r"\t-\r \x85\xa0  -     　"
 #: Encoded words and windows that a Python worker remembers; beyond it starts anew, so memory stays bounded.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -39,8 +39,17 @@ class Words(dict):
     def __init__(self, encoder: Encoder) -> None:
         super().__init__()
         self.encoder = encoder
+        self.older: dict[str, bytes] = {}
+
+    def age(self) -> None:
+        """What was asked for since the last time is kept once more; the rest is forgotten."""
+        self.older = dict(self)
+        self.clear()
 
     def __missing__(self, word: str) -> bytes:
+        if (packed := self.older.pop(word, None)) is not None:
+            self[word] = packed
+            return packed
         if not word or word[0].isspace() or word[-1].isspace():
             raise NotApart
         packed = self.encoder.cut(" " + word)
@@ -124,8 +133,8 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         """No piece of the pattern goes on behind a single space that stands between other characters: the text is cut
         there first. Texts with more white space in one place are cut by the pattern alone."""
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
+        if len(self.words) > REMEMBERED // 2:
+            self.words.age()
         if len(self.known) > REMEMBERED // 2:
             self.known.clear()
         first, *rest = text.split(" ")

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foretide.llm.common import LOWER, SPACE, UPPER, ascii_lower, checkpointed, table, whole_text
 
@@ -35,7 +36,7 @@ def shared_lines(docs: DataFrame, min_key: int = MIN_KEY) -> tuple[DataFrame, Da
     return lines, checkpointed(ends.filter("first < last").select("hash", "first"))
 
 
-@F.pandas_udf("struct<text:string,n_lines:long,n_dropped:long>")
+@F.pandas_udf(T.StructType().add("text", "string").add("n_lines", "long").add("n_dropped", "long"))
 def _rest(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for texts, lost in parts:
         out = []

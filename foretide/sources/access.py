@@ -7,11 +7,12 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FORBIDDEN = ("disabled", "forbidden", "unknown_terms")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def internal_address(host: pd.Series) -> pd.Series:
     """Private, loopback, link-local, multicast or reserved (F16); a name that is no address is not."""
 
