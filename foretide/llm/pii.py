@@ -231,7 +231,7 @@ def labelled_windows(rng: np.random.Generator, n: int) -> tuple[np.ndarray, np.n
 
 
 @cache
-def trained(hidden: int = HIDDEN, steps: int = 400, batch: int = 64, seed: int = 5) -> Tagger:
+def trained(hidden: int = HIDDEN, steps: int = 1000, batch: int = 64, seed: int = 5) -> Tagger:
     """By Adam on the CRF's log likelihood; the same parameters give the same model. Once in a process."""
     rng = np.random.default_rng(seed)
     tagger = Tagger.fresh(rng, hidden)
