@@ -63,7 +63,7 @@ def line_dedup(docs: DataFrame, min_key: int = MIN_KEY) -> DataFrame:
     lines, shared = shared_lines(docs, min_key)
     lost = lines.join(shared, "hash").filter("id > first").groupBy("id").agg(F.collect_list("hash").alias("hashes"))
     names = [c for c in docs.columns if c != "line_dedup"]
-    left = docs.select(F.struct(*names).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"))
+    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"))
     done = left.join(lost, "id", "left").select("row", _rest(F.coalesce(F.col("row.text"), F.lit("")), "hashes").alias("rest"))
     columns = [F.col("rest.text") if c == "text" else F.col(f"row.`{c}`") for c in names]
     return done.select(*columns, F.struct("rest.n_lines", "rest.n_dropped").alias("line_dedup"))
