@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foretide.llm.common import materialised, table, whole_text
+from foretide.llm.common import at_driver, materialised, table, whole_text
 
 LENGTH = 200
 PIECE = 64
@@ -213,13 +213,6 @@ def repeated_anchors(texts: DataFrame, length: int = LENGTH, piece: int = PIECE)
     return materialised(seen.filter("n > 1").select("hash", "n", (F.col("low") != F.col("high")).alias("mixed")))
 
 
-def _as_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's rows of four numbers as one compressed value."""
-    rows = [np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) for batch in batches]
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.concatenate(rows, axis=1).tobytes(), 1)], pa.binary())], ["data"])
-
-
 def _filters(repeated: DataFrame, together: int, bits: int) -> bytes:
     """Bit arrays of the hashes that are repeated, mixed, and mixed and frequent, compressed. The driver gets at most 2^bits / 64 words
     of each, a task's at a time."""
@@ -228,8 +221,7 @@ def _filters(repeated: DataFrame, together: int, bits: int) -> bytes:
     kinds = [F.lit(True), F.col("mixed"), F.col("mixed") & (F.col("n") > together)]
     words = repeated.groupBy(F.shiftright(at, 6).alias("word")).agg(*[F.bit_or(F.when(k, bit).otherwise(F.lit(0).cast("long"))).alias(f"k{i}") for i, k in enumerate(kinds)])
     held = np.zeros((len(kinds), 1 << (bits - 6)), np.int64)
-    for row in words.mapInArrow(_as_one, "data binary").toLocalIterator():
-        word, *values = np.frombuffer(zlib.decompress(row.data), np.int64).reshape(len(kinds) + 1, -1)
+    for word, *values in at_driver(words):
         held[:, word] = values
     return zlib.compress(held.tobytes(), 1)
 
