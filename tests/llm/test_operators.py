@@ -155,6 +155,15 @@ def test_lm_is_normalised(spark, odd, empty):
     assert all(math.isfinite(r.score) for r in lm.score(odd, nothing).collect())
 
 
+def test_frequent_words(spark):
+    """Only whole levels of like counts, whatever fits."""
+    rows = [(b"w%d" % i, n) for i, n in enumerate([900, 900, 70, 70, 70, 3, 2, 2, 1, 1, 1])]
+    counts = spark.createDataFrame(rows, "word binary, n long")
+    for most, held in ((11, 11), (10, 8), (7, 6), (4, 2), (1, 0)):
+        assert lm.frequent_words(counts, most) == rows[:held]
+    assert lm.frequent_words(counts.limit(0)) == []
+
+
 def test_lm_learns_what_follows():
     pairs = np.zeros((6, 6))
     pairs[0, 1], pairs[1, 2], pairs[2, 3], pairs[3, 1], pairs[2, 4] = 500, 400, 300, 200, 100
