@@ -157,7 +157,7 @@ def test_lm_is_normalised(spark, odd, empty):
 
 def test_frequent_words(spark):
     """Only whole levels of like counts, whatever fits."""
-    rows = [(b"w%d" % i, n) for i, n in enumerate([900, 900, 70, 70, 70, 3, 2, 2, 1, 1, 1])]
+    rows = [(b"w%02d" % i, n) for i, n in enumerate([900, 900, 70, 70, 70, 3, 2, 2, 1, 1, 1])]
     counts = spark.createDataFrame(rows, "word binary, n long")
     for most, held in ((11, 11), (10, 8), (7, 6), (4, 2), (1, 0)):
         assert lm.frequent_words(counts, most) == rows[:held]
