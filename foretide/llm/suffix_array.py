@@ -214,11 +214,11 @@ def repeated_anchors(texts: DataFrame, length: int = LENGTH, piece: int = PIECE)
 
 
 def _filters(repeated: DataFrame, together: int, bits: int) -> bytes:
-    """Bit arrays of the hashes that are repeated, mixed, and mixed and frequent, compressed. The driver gets at most 2^bits / 64 words
+    """Bit arrays of the hashes that are repeated, mixed, and frequent, compressed. The driver gets at most 2^bits / 64 words
     of each, a task's at a time."""
     at = F.col("hash").bitwiseAND(F.lit((1 << bits) - 1))
     bit = F.expr("shiftleft(1L, CAST(hash & 63 AS INT))")
-    kinds = [F.lit(True), F.col("mixed"), F.col("mixed") & (F.col("n") > together)]
+    kinds = [F.lit(True), F.col("mixed"), F.col("n") > together]
     words = repeated.groupBy(F.shiftright(at, 6).alias("word")).agg(*[F.bit_or(F.when(k, bit).otherwise(F.lit(0).cast("long"))).alias(f"k{i}") for i, k in enumerate(kinds)])
     held = np.zeros((len(kinds), 1 << (bits - 6)), np.int64)
     for word, *values in at_driver(words):
@@ -247,7 +247,8 @@ def _repeated(filters: bytes, bits: int, length: int, piece: int):
                     word, bit = (h & ((1 << bits) - 1)) >> 6, h & 63
                     held = [(f[word] >> bit) & 1 for f in arrays]
                     kept = np.flatnonzero(held[0])
-                    route = (held[1] + held[2])[kept].tolist()
+                    # What is frequent must not meet in one task, be it mixed or only taken for mixed by its low bits.
+                    route = (held[1] * (1 + held[2]))[kept].tolist()
                     n = len(kept)
                     a, b = first[kept].tolist(), last[kept].tolist()
                     contexts = [data[x : y + length] if r else None for x, y, r in zip(a, b, route, strict=True)]

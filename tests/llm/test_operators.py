@@ -110,6 +110,24 @@ def test_short_repeats(spark, seed, together):
     assert {r.doc_id: bytes(r.kept) for r in got} == want
 
 
+def test_frequent_anchors_never_meet(spark):
+    """A large copy group shares the low bits of its anchors with mixed ones; no task may get more than `together` of it."""
+    rng = random.Random(5)
+    some = lambda n: "".join(rng.choices(string.ascii_lowercase, k=n))
+    copy, core = some(300), [some(60) for _ in range(4)]
+    rows = [*enumerate([copy] * 40), *((100 + i, some(20) + c + some(20)) for i, c in enumerate(core * 2))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = docs.selectExpr("doc_id", "xxhash64(text) AS same", "text")
+    repeated = suffix_array.repeated_anchors(texts, 20, 8)
+    found = texts.mapInArrow(suffix_array._repeated(suffix_array._filters(repeated, 2, 6), 6, 20, 8), suffix_array._FOUND)
+    routes = {(r.hash, r.route): r["count"] for r in found.groupBy("hash", "route").count().collect()}
+    assert repeated.filter("NOT mixed AND n >= 40").count() and repeated.filter("mixed").count()
+    assert all(n <= 2 for (_, route), n in routes.items() if route == 1)
+    got = {r.doc_id: bytes(r.kept) for r in suffix_array.remove_repeats(docs, length=20, piece=8, together=2, bits=6).collect()}
+    data = [t.encode() for _, t in rows]
+    assert got == {i: bytes(b for b, g in zip(d, gone, strict=True) if not g) for (i, _), d, gone in zip(rows, data, _removed(data, 20), strict=True)}
+
+
 def test_repeats_of_odd_rows(odd, empty):
     got = suffix_array.remove_repeats(odd)
     data = [(t or "").encode() for _, t in ODD]
