@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foretide.functions import numbers, text, time
 from foretide.operators import form, identity, ingestion, ledger, pit
+from foretide.plans import feed_queries
 from foretide.sources import access, parsers, sinks
 
 
@@ -127,6 +128,49 @@ def test_identity(spark):
     assert status(**turned) == ("UNKNOWN", "HOME_AWAY_INVERSION", 0.0)
 
 
+def _decided(pairs) -> dict:
+    """Pairs that are decided, inverted, near to a decision, or alike by the id or base of a side."""
+    shared = [F.coalesce(F.col(f"a_{k}") == F.col(f"b_{k}"), F.lit(False)) for k in ("home_id", "home_base", "away_id", "away_base")]
+    told = F.col("status").isin("MATCH_AUTO", "MATCH_JOURNALIZED") | (F.col("confidence") > 0.75) | (F.col("reason") == "HOME_AWAY_INVERSION")
+    return {(r.a_event_id, r.b_event_id): (r.status, r.reason, r.confidence) for r in pairs.filter(told | shared[0] | shared[1] | shared[2] | shared[3]).collect()}
+
+
+def _every(events, others):
+    """Brute force: all pairs within a day."""
+    a, b = (df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns]) for df, p in ((events, "a"), (others, "b")))
+    days = F.abs(F.datediff(F.col("a_kickoff").cast("date"), F.col("b_kickoff").cast("date")))
+    return identity.compare(a.crossJoin(b).filter(F.coalesce(days <= 1, F.lit(True))))
+
+
+def test_candidates(spark):
+    at = datetime(2026, 1, 1, 23, 50)
+    long = "borussia verein fuer leibesuebungen"
+    left = [(1, "s", "1", "alpha one", "bravo", "c", at, None), (2, "s", "2", "wien", "graz", "c", at, None), (3, "s", "3", "xx", "yy", "c", at, None), (4, "s", "4", long, f"{long} two", "c", at, "v"), (5, "s", "5", "kilo", "lima", "c", None, "w")]
+    right = [
+        (11, "t", "9", "team alpha 1 fc", "bravo", "c", datetime(2026, 1, 2, 0, 10), "v"), (12, "t", "8", "graz", "wien", "c", at, None), (13, "s", "3", "xy", "yx", "c", at, None),
+        (14, "t", "7", f"{long}s", f"{long}s two", "c", at, "v"), (15, "s", "5", "kilo", "lima", "c", at, "w"), (16, "t", "6", "team alpha 1", "golf", "c", at, None), (17, "t", "5", "", "", "c", at, None),
+    ]
+    book = identity.alias_book(spark.createDataFrame([("Alpha One", "t1", 0), ("Team Alpha 1", "t1", 1)], "alias string, canonical_id string, position int"))
+    kinds = "event_id long, source string, external_id string, home string, away string, competition string, kickoff timestamp, venue string"
+    a, b = (identity.with_canonical(spark.createDataFrame(rows, kinds), book) for rows in (left, right))
+    got, want = identity.compare(identity.candidates(a, b)), _decided(_every(a, b))
+    assert _decided(got) == want and got.count() < len(left) * len(right) / 2
+    assert {k: v[1:] for k, v in want.items()}[2, 12] == ("HOME_AWAY_INVERSION", 0.0) and (1, 16) in want and (4, 14) in want and (5, 15) in want
+    known = identity.with_canonical(spark.createDataFrame([(1, "s", "1", "team alpha 1", "x", "c", at, None)], kinds), book)
+    unknown = identity.with_canonical(spark.createDataFrame([(2, "t", "2", "team alpha 1 fc", "y", "c", at, None)], kinds), book)
+    assert identity.candidates(known, unknown).count() == 1  # the id of one doesn't hide the base
+
+
+def test_identity_takes_all_orders(spark, sf):
+    """The registered query against all pairs within a day, over all orders."""
+    book = identity.alias_book(spark.createDataFrame([("Team Alpha 1", "t1", 0), ("Alpha One", "t1", 1), ("Team Bravo 2", "t2", 2)], "alias string, canonical_id string, position int"))
+    rows = identity.with_canonical(feed_queries.team_events(spark, sf), book)
+    want = _decided(_every(rows.filter("source = 's0'"), rows.filter("source = 's1'")))
+    got = {(r.a_event_id, r.b_event_id): (r.status, r.reason, r.confidence) for r in feed_queries.identity_scores(spark, sf).collect()}
+    assert rows.count() == 2 * spark.read.parquet(f"{sf}/orders.parquet").count()
+    assert got == want and len({a // 2 % 11 for a, _ in got}) == 11
+
+
 def test_breaker_and_caps(spark):
     calls = spark.createDataFrame([("s", i, i * 10, False) for i in range(7)] + [("s", 7, 3000, True), ("s", 8, 3010, False)], "source string, call_id long, at_seconds long, ok boolean").withColumn("day", F.lit("2026-01-01").cast("date"))
     states = [r.state for r in ingestion.circuit_breaker(calls).orderBy("call_id").collect()]
