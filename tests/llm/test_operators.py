@@ -519,3 +519,13 @@ def test_stages_of_odd_rows(spark, sf, odd, empty):
             out.collect()
     kept = corpus_pipeline.near_duplicates(spark, odd, sf)
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "10", "3", "5", "7", "8", "9", "None"])
+
+
+def test_near_duplicates_by_row(spark, sf):
+    """Texts that share a doc_id are judged one by one, and copies without doc_id are copies."""
+    rng = random.Random(3)
+    one, two, three, four = (" ".join("".join(rng.choices(string.ascii_lowercase, k=6)) for _ in range(60)) for _ in range(4))
+    rows = [(1, one), (2, one), (2, two), (3, two), (3, two), (4, four), (None, three), (None, three), (None, four), (6, ""), (6, None)]
+    docs = spark.createDataFrame([(i, t, None, None, None, 1, "k", "h", 3) for i, t in rows], SCHEMA)
+    kept = corpus_pipeline.near_duplicates(spark, docs, sf).collect()
+    assert sorted(str((r.doc_id, r.text or "")) for r in kept) == sorted(map(str, [(1, one), (2, two), (4, four), (None, three), (6, "")]))
