@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from foretide.config import EVALUATION
+
 
 def clamp(x: Column, low: float, high: float) -> Column:
     """N05."""
@@ -62,7 +64,7 @@ def brier_binary(p: Column, won: Column) -> Column:
     return F.pow(p - o, F.lit(2)) + F.pow((1 - p) - (1 - o), F.lit(2))
 
 
-def log_loss(p: Column, epsilon: float = 1e-12) -> Column:
+def log_loss(p: Column, epsilon: float = EVALUATION.epsilon) -> Column:
     """Of the probability given to what happened, kept away from 0 and 1."""
     return -F.log(clamp(p, epsilon, 1.0))
 

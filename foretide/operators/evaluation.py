@@ -45,12 +45,18 @@ def roi(priced: DataFrame) -> DataFrame:
 def drawdown(priced: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """The deepest fall of the running sum from its peak so far, which starts at 0.
 
-    `by` splits the series, as by competition and month: one series over everything would be one task.
+    The first of order is an instant. Each month of a series is summed up on its own, in parallel: its sum, its highest and lowest
+    point and its own deepest fall; these few rows are then put together in their order.
     """
-    so_far = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    run = priced.withColumn("equity", F.sum("pnl").over(so_far))
-    run = run.withColumn("peak", F.greatest(F.lit(0.0), F.max("equity").over(so_far)))
-    return run.groupBy(*by).agg(F.round(F.max(F.col("peak") - F.col("equity")), 4).alias("max_drawdown"))
+    rows = priced.withColumn("month", F.date_trunc("month", order[0]))
+    so_far = Window.partitionBy(*by, "month").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    run = rows.withColumn("equity", F.sum("pnl").over(so_far)).withColumn("fall", F.max("equity").over(so_far) - F.col("equity"))
+    months = run.groupBy(*by, "month").agg(F.sum("pnl").alias("total"), F.max("equity").alias("high"), F.min("equity").alias("low"), F.max("fall").alias("fall"))
+    earlier = Window.partitionBy(*by).orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
+    months = months.withColumn("base", F.coalesce(F.sum("total").over(earlier), F.lit(0.0)))
+    peak = F.greatest(F.lit(0.0), F.coalesce(F.max(F.col("base") + F.col("high")).over(earlier), F.lit(0.0)))
+    deepest = F.greatest("fall", peak - (F.col("base") + F.col("low")))
+    return months.withColumn("deepest", deepest).groupBy(*by).agg(F.round(F.max("deepest"), 4).alias("max_drawdown"))
 
 
 def calibration(rows: DataFrame, p: str, happened: Column, bins: int = EVALUATION.bins) -> DataFrame:

@@ -10,18 +10,30 @@ from pyspark.sql import functions as F
 
 
 def budget_windows(requests: DataFrame, most: int = 20, seconds: int = 25, apart: int = 1) -> DataFrame:
-    """Requests of each tumbling window of a source, those over its budget, and those that came too soon (T-10)."""
-    gap = F.col("at") - F.lag("at").over(Window.partitionBy("source").orderBy("at", "request_id"))
-    rows = requests.withColumn("soon", gap < F.expr(f"INTERVAL {apart} SECONDS"))
+    """Requests of each tumbling window of a source, those over its budget, and those that came too soon (T-10).
+
+    Gaps are taken within a window; only the ends of windows, one row each, are put in order over the whole time of a source.
+    """
     start = (F.floor(F.unix_seconds(F.col("at").cast("timestamp")) / seconds) * seconds).cast("long")
-    out = rows.groupBy("source", start.alias("window_start")).agg(F.count(F.lit(1)).alias("n"), F.count_if("soon").alias("too_soon"))
-    return out.withColumn("over_budget", F.greatest(F.col("n") - most, F.lit(0)))
+    rows, step = requests.withColumn("window_start", start), F.expr(f"INTERVAL {apart} SECONDS")
+    gap = F.col("at") - F.lag("at").over(Window.partitionBy("source", "window_start").orderBy("at", "request_id"))
+    out = rows.withColumn("soon", gap < step).groupBy("source", "window_start").agg(F.count(F.lit(1)).alias("n"), F.count_if("soon").alias("soon"), F.min("at").alias("first"), F.max("at").alias("last"))
+    before = F.lag("last").over(Window.partitionBy("source").orderBy("window_start"))
+    too_soon = F.col("soon") + F.coalesce((F.col("first") - before < step).cast("long"), F.lit(0))
+    return out.withColumn("too_soon", too_soon).select("source", "window_start", "n", "too_soon", F.greatest(F.col("n") - most, F.lit(0)).alias("over_budget"))
 
 
 def cycle_cap(jobs: DataFrame, cycle: str, order: list[str], cost: str, cap: int = 20) -> DataFrame:
-    """Jobs of a cycle in order, until what went before reaches the cap."""
-    before = F.coalesce(F.sum(cost).over(Window.partitionBy(cycle).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return jobs.withColumn("before", before).withColumn("state", F.when(F.col("before") < cap, "RUN").otherwise("CYCLE_CAP"))
+    """Jobs of a cycle in order, until what went before reaches the cap (K11, K10). The first of order is an instant: sums run
+    within its hour, and over the hours of a cycle, so that a large cycle is many tasks."""
+    hour = F.date_trunc("hour", order[0])
+    rows = jobs.withColumn("hour", hour)
+    within = Window.partitionBy(cycle, "hour").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(cycle).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = rows.groupBy(cycle, "hour").agg(F.sum(cost).alias("spent")).withColumn("spent", F.coalesce(F.sum("spent").over(earlier), F.lit(0)))
+    before = F.col("spent") + F.coalesce(F.sum(cost).over(within), F.lit(0))
+    out = rows.join(hours, [cycle, "hour"]).withColumn("before", before).drop("hour", "spent")
+    return out.withColumn("state", F.when(F.col("before") < cap, "RUN").otherwise("CYCLE_CAP"))
 
 
 def circuit_breaker(calls: DataFrame, failures: int = 5, rest_seconds: int = 1800) -> DataFrame:

@@ -35,19 +35,25 @@ def latest_as_of(points: DataFrame, as_of: str, *key: str) -> DataFrame:
     return points.filter(usable_at(as_of)).groupBy(*key).agg(newest.alias("row")).select(*key, "row.*")
 
 
-def asof_join(left: DataFrame, points: DataFrame, key: str, at: str) -> DataFrame:
+def asof_join(left: DataFrame, points: DataFrame, key: str, at: str, bucket: str = "day") -> DataFrame:
     """For each row of left the last observation of its key retrieved at `at` or before (J09 with an instant per row).
 
-    Both sides go through one shuffle by key and time and meet in a running maximum, so no pair is ever built. Rows of left keep
+    Both sides meet by key and bucket of time in a running maximum, so no pair is ever built and a key with many rows is many
+    tasks; the last observation of the buckets before, one row each, is carried on to those that follow. Rows of left keep
     their columns; `seen_at` and `seen_value` are null where nothing was known.
     """
     columns = left.columns
     none = F.lit(None)
     a = left.select(F.col(key).alias("k"), F.col(at).alias("t"), F.lit(1).alias("side"), F.struct(*columns).alias("row"), none.cast("struct<t:timestamp_ntz,id:bigint,value:double>").alias("point"))
     b = points.select(F.col(key).alias("k"), F.col("retrieved_at").alias("t"), F.lit(0).alias("side"), none.cast(a.schema["row"].dataType).alias("row"), F.struct(F.col("retrieved_at").alias("t"), F.col("point_id").alias("id"), F.col("value").alias("value")).alias("point"))
-    run = Window.partitionBy("k").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn("seen", F.max("point").over(run)).filter("side = 1")
-    return both.select("row.*", F.col("seen.t").alias("seen_at"), F.col("seen.value").alias("seen_value"))
+    both = a.unionByName(b).withColumn("b", F.date_trunc(bucket, "t"))
+    earlier = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.groupBy("k", "b").agg(F.max("point").alias("last")).withColumn("carried", F.max("last").over(earlier)).select(F.col("k").alias("of_k"), F.col("b").alias("of_b"), "carried")
+    run = Window.partitionBy("k", "b").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("seen", F.max("point").over(run)).filter("side = 1")
+    met = met.join(carried, met["k"].eqNullSafe(carried["of_k"]) & met["b"].eqNullSafe(carried["of_b"]), "left")
+    seen = F.coalesce("seen", "carried")
+    return met.select("row.*", seen["t"].alias("seen_at"), seen["value"].alias("seen_value"))
 
 
 def dedupe_key(*columns: str) -> Column:

@@ -12,6 +12,7 @@ from foretide.operators import identity, ledger
 from foretide.plans.views import table
 from foretide.sources import access, parsers
 from foretide.streaming import pipelines
+from foretide.streaming.scratch import shared_folder
 
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +57,8 @@ def url_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether pages may be read, by a registry of two sources."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.when(F.col("page_id") % 5 == 0, "none").when(F.col("page_id") % 5 == 1, "off").otherwise("on").alias("source_id"))
     found = F.when(F.col("page_id") % 7 == 0, F.regexp_replace("url", "^https?", "http")).otherwise(F.regexp_replace("url", "^https?", "https"))
-    base = pages.select(F.min(F.concat(F.lit("https://"), F.try_parse_url("url", F.lit("HOST")))).alias("base_url"))
-    registry = spark.createDataFrame([("on", True, "active"), ("off", False, "active")], "source_id string, enabled boolean, status string").crossJoin(F.broadcast(base))
+    base = pages.agg(F.min(F.concat(F.lit("https://"), F.try_parse_url("url", F.lit("HOST"))))).first()[0]
+    registry = spark.createDataFrame([("on", True, "active", base), ("off", False, "active", base)], "source_id string, enabled boolean, status string, base_url string")
     return access.access(pages.withColumn("url", found), registry).select("page_id", "decision", F.coalesce("reason", F.lit("")).alias("reason"))
 
 
@@ -136,13 +137,13 @@ def price_band_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return pipelines.source(spark, sf_dir, "events.parquet*", schema)
+    path = f"{sf_dir}/events.parquet"
+    return pipelines.source(spark, path, spark.read.parquet(path).schema)
 
 
 def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    """What a stream over all files there are gives; kept in the shared folder the session names, or a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file:///tmp/foretide-streams"
+    """What a stream over all files there are gives; kept in the shared folder that the session names."""
+    root = shared_folder(spark)
     to, kept = f"{root}/stream-{uuid.uuid4().hex}", []
 
     def each(batch: DataFrame, number: int) -> None:
@@ -186,6 +187,11 @@ ORACLES = {
     "scalar_texts": "WITH o AS (SELECT *, year(o_orderdate) - CASE WHEN month(o_orderdate) < 7 THEN 1 ELSE 0 END AS y FROM orders) SELECT o_orderkey, lpad(CAST(y % 100 AS VARCHAR), 2, '0') || lpad(CAST((y + 1) % 100 AS VARCHAR), 2, '0') AS season, o_orderpriority || '|' || strftime(o_orderdate, '%Y%m%d%H') || '|a|b' AS key, substr(sha256(o_orderpriority), 1, 16) AS short, o_orderkey % 7 = 0 AS off, 'match:' || o_orderpriority || '|' || CAST(o_orderdate AS DATE) || '|h|a' AS canonical FROM o",
     "parsed_instants": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN CAST(epoch(date_trunc('minute', ts)) AS BIGINT) WHEN 1 THEN CAST(epoch(date_trunc('minute', ts)) AS BIGINT) + 30 WHEN 2 THEN CAST(epoch(date_trunc('day', ts)) AS BIGINT) ELSE -1 END AS \"at\", event_id % 4 <> 3 AS iso FROM events",
     "safe_casts": "WITH r AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_id % 500 + 0.5e0 WHEN 1 THEN -(event_id % 300 + 100)::DOUBLE END AS x FROM events) SELECT event_id, coalesce(trunc(x), -999999) AS whole, coalesce(round(CASE WHEN x > 0 THEN 100 / (x + 100) WHEN x < 0 THEN -x / (100 - x) END, 6), -999999) AS p, coalesce(round(CASE WHEN x > 0 THEN 1 + x / 100 WHEN x < 0 THEN 1 - 100 / x END, 3), -999999) AS decimal FROM r",
+    "url_access": """WITH p AS (SELECT page_id, split_part(url, '/', 3) AS host FROM pages), b AS (SELECT min(host) AS base FROM p),
+r AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'UNKNOWN_SOURCE' WHEN page_id % 5 = 1 THEN 'SOURCE_DISABLED' WHEN page_id % 7 = 0 THEN 'NOT_HTTPS'
+  WHEN host <> base AND host <> CASE WHEN starts_with(base, 'www.') THEN substr(base, 5) ELSE 'www.' || base END THEN 'HOST_NOT_LISTED' ELSE '' END AS reason FROM p, b)
+SELECT page_id, CASE reason WHEN '' THEN 'ALLOW' WHEN 'UNKNOWN_SOURCE' THEN 'UNKNOWN' ELSE 'DENY' END AS decision, reason FROM r""",
+    "identity_exact": "WITH p AS (SELECT CASE o_orderkey % 10 WHEN 0 THEN 0.64e0 WHEN 1 THEN 0.755e0 ELSE 0.8e0 END AS c FROM orders WHERE o_orderkey % 9 <> 0 AND o_orderkey % 10 <> 2) SELECT CASE WHEN c >= 0.8e0 THEN 'MATCH_JOURNALIZED' ELSE 'UNKNOWN' END AS status, count(*) AS n, round(avg(c), 4) AS confidence FROM p GROUP BY 1",
     "entity_proposals": "WITH r AS (SELECT 's' || (l_orderkey % 3) AS source, l_partkey % 500 AS external_id, l_partkey % 500 + CASE WHEN l_orderkey % 1000 = 0 THEN 1 ELSE 0 END AS entity_id, round(0.7e0 + l_discount * 3, 4) AS confidence FROM lineitem), g AS (SELECT source, external_id, count(DISTINCT entity_id) AS entities, min(entity_id) AS entity_id, round(max(confidence), 4) AS confidence FROM r WHERE confidence >= 0.80e0 GROUP BY 1, 2) SELECT *, CASE WHEN entities > 1 THEN 'REFUSED' WHEN confidence >= 0.95e0 THEN 'MATCH_AUTO' ELSE 'MATCH_JOURNALIZED' END AS status FROM g",
     "prefix_names": "WITH k AS (SELECT DISTINCT lower(p_type) AS known_name FROM part), s AS (SELECT DISTINCT lower(substr(p_type, 1, 9)) AS name FROM part), m AS (SELECT name, max(known_name) FILTER (WHERE name = known_name) AS eq, count(DISTINCT known_name) AS n, min(known_name) AS one FROM s JOIN k ON starts_with(known_name, name) OR starts_with(name, known_name) GROUP BY name) SELECT name, coalesce(eq, one) AS known_name FROM m WHERE eq IS NOT NULL OR n = 1",
     "json_properties": "SELECT event_id % 50 <> 0 AS readable, count(*) AS n FROM events GROUP BY 1",

@@ -11,9 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def source(spark: SparkSession, folder: str, pattern: str, schema, files_per_batch: int = 1) -> DataFrame:
-    """Files of a folder as a stream (T-01)."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", pattern).parquet(folder)
+def source(spark: SparkSession, table: str, schema, files_per_batch: int | None = None) -> DataFrame:
+    """The files of a table as a stream (T-01), be it a folder of files or one file. All files that are there make one batch
+    unless files_per_batch says otherwise: files that come out of the order of their times then can't make each other late."""
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    place = spark._jvm.org.apache.hadoop.fs.Path(table)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place)
+    if found.isDirectory():
+        return reader.parquet(table)
+    return reader.option("pathGlobFilter", place.getName()).parquet(place.getParent().toString())  # a stream reads folders
 
 
 def timed(events: DataFrame) -> DataFrame:
