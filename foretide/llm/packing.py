@@ -1,16 +1,21 @@
-"""Packing documents into training sequences: shortest-pack-first over length histograms.
-
-Every document is cut into whole sequences and one remainder. Remainders are dealt into cells of a few thousand by a hash
-of their document; each cell's histogram of lengths (at most one row for each length) is packed on its own, in parallel:
-lengths are placed longest first, each time into the pattern of packs with the most room. Patterns are then joined back to the documents
-by their rank within cell and length. Nothing grows with the corpus but the number of cells.
+"""Packing documents into training sequences: shortest-pack-first over the length histogram.
+
+Every document is cut into whole sequences and one remainder. One histogram of the remainders' lengths (a row for each
+length under a sequence's) goes to the driver: lengths are placed longest first, each time into the pattern of packs with
+the most room, and only the numbers of packs of each pattern change. Patterns are then joined back to the documents by the
+rank of a document among those of its length: its place among them in its task's output, after those of the tasks before.
+The number of patterns is bounded by that of lengths, so nothing at the driver or in a task grows with the corpus, and a
+length, an id or a text that a third of all documents share is ranked in as many tasks as it was cut in.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
+import json
+import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,17 +23,18 @@ import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foretide.llm.common import materialised, table, whole_text
+from foretide.llm.common import checkpointed, materialised, table, whole_text
 
-#: The ranks hold the same vocabulary as byte_bpe_50k.json, and give the same ids.
+#: The ranks hold the same vocabulary as the JSON, and give the same ids; the JSON also names the added tokens, whose strings
+#: in a text are ids of their own.
 VOCABULARY = "byte_bpe_50k.tiktoken"
+ADDED = "byte_bpe_50k.json"
 END = 1
 SEQUENCE = 2048
-#: Remainders in a cell, about.
-CELL = 8192
 #: Words that a Python worker remembers; beyond it starts anew.
 REMEMBERED = 1_000_000
 
@@ -40,8 +46,13 @@ class _NotApart(Exception):
 class _Words(dict):
     """Packed ids of " word" by word. The pattern never goes on behind a single space between other characters."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added: str | None) -> None:
         super().__init__()
+        self.added: dict[str, bytes] = {}
+        if added:
+            with open(added, encoding="utf-8") as file:
+                self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in json.load(file)["added_tokens"]}
+        self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.ids = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
@@ -60,6 +71,11 @@ class _Words(dict):
     def encode(self, text: str) -> bytes:
         if len(self) > REMEMBERED:
             self.clear()
+        if self.cuts and self.cuts.search(text):
+            return b"".join(self.added.get(x) or self.plain(x) for x in self.cuts.split(text) if x)
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         if rest and (not first or first[-1].isspace()):
             return self.cut(text)
@@ -69,15 +85,17 @@ class _Words(dict):
             return self.cut(text)
 
 
-_WORDS: dict[str, _Words] = {}
-_PIECES = "doc_id long, start long, length long, doc_tokens long, ids_crc32 long, ids binary"
+_WORDS: dict[tuple[str, str | None], _Words] = {}
+_PIECES = "doc_id long, start long, length long, doc_tokens long, ids_crc32 long, part long, place long, ids binary"
 
 
-def _pieces(path: str, end: int, most: int):
+def _pieces(path: str, added: str | None, end: int, most: int):
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _WORDS.setdefault(path, None) or _WORDS.update({path: _Words(path)}) or _WORDS[path]
+        if (path, added) not in _WORDS:
+            _WORDS[path, added] = _Words(path, added)
+        words, part, places = _WORDS[path, added], TaskContext.get().partitionId(), Counter()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = []
@@ -85,78 +103,102 @@ def _pieces(path: str, end: int, most: int):
                     ids = words.encode(text) + tail
                     for i in range(0, len(ids), 4 * most):
                         piece = ids[i : i + 4 * most]
-                        rows.append((doc, i // 4, len(piece) // 4, len(ids) // 4, zlib.crc32(piece), piece))
+                        length = len(piece) // 4
+                        rows.append((doc, i // 4, length, len(ids) // 4, zlib.crc32(piece), part, places[length], piece))
+                        places[length] += 1
                 columns = zip(*rows, strict=True)
-                kinds = [pa.int64()] * 5 + [pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "start", "length", "doc_tokens", "ids_crc32", "ids"])
+                kinds = [pa.int64()] * 7 + [pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "start", "length", "doc_tokens", "ids_crc32", "part", "place", "ids"])
 
     return run
 
 
-def pack_lengths(histogram: dict[int, int], most: int = SEQUENCE) -> list[tuple[int, list[int]]]:
-    """(number of packs, lengths in each) of patterns that hold every length as often as the histogram says."""
-    room: dict[int, list[tuple[int, list[int]]]] = defaultdict(list)
+def pack_lengths(histogram: dict[int, int], most: int = SEQUENCE) -> list[tuple[int, list[tuple[int, int]]]]:
+    """(number of packs, (length, times) in each) of patterns that hold every length as often as the histogram says. A length
+    makes three new patterns at most: packs of itself, a last one of those, and what is left of a pattern it fills in part."""
+    room: dict[int, list[tuple[int, list[tuple[int, int]]]]] = defaultdict(list)
+    most_room: list[int] = []  # a heap of all rooms there may be
+
+    def put(space: int, packs: int, held: list[tuple[int, int]]) -> None:
+        if not room[space]:
+            heapq.heappush(most_room, -space)
+        room[space].append((packs, held))
+
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         while left:
-            space = max((s for s, held in room.items() if held and s >= length), default=0)
-            if space:
-                packs, lengths = room[space].pop()
+            while most_room and not room[-most_room[0]]:
+                heapq.heappop(most_room)
+            space = -most_room[0] if most_room else 0
+            if space >= length:
+                packs, held = room[space].pop()
                 filled = min(packs, left)
                 if packs > filled:
-                    room[space].append((packs - filled, lengths))
-                room[space - length].append((filled, [*lengths, length]))
+                    put(space, packs - filled, held)
+                more = [*held[:-1], (length, held[-1][1] + 1)] if held[-1][0] == length else [*held, (length, 1)]
+                put(space - length, filled, more)
                 left -= filled
                 continue
             each = min(most // length, left)
-            room[most - each * length].append((left // each, [length] * each))
+            put(most - each * length, left // each, [(length, each)])
             left %= each
     return [pack for held in room.values() for pack in held]
 
 
-def _places(most: int):
-    def run(key: tuple, counts: pd.DataFrame) -> pd.DataFrame:
-        ranks: dict[int, int] = defaultdict(int)
-        length, rank, sequence, offset, first = [], [], [], [], 0
-        for packs, lengths in pack_lengths(dict(zip(counts["length"], counts["n"], strict=True)), most):
-            at = 0
-            for x in lengths:
-                length.append(np.full(packs, x))
-                rank.append(ranks[x] + np.arange(packs))
-                sequence.append(first + np.arange(packs))
-                offset.append(np.full(packs, at))
-                ranks[x] += packs
-                at += x
-            first += packs
-        return pd.DataFrame({"cell": key[0], "length": np.concatenate(length), "rank": np.concatenate(rank), "sequence": np.concatenate(sequence), "offset": np.concatenate(offset)})
-
-    return run
-
-
-def pack(docs: DataFrame, path: str | None = None, end: int = END, most: int = SEQUENCE, cell: int = CELL) -> DataFrame:
+def _places(histogram: dict[int, int], most: int):
+    """sequence, offset for each length and rank among the remainders of that length."""
+    ranks: dict[int, int] = defaultdict(int)
+    rows, first = [], 0
+    for packs, held in pack_lengths(histogram, most):
+        at = 0
+        for length, times in held:
+            rows.append((length, ranks[length], times, first, at))
+            ranks[length] += packs * times
+            at += length * times
+        first += packs
+    length, start, times, sequence, offset = np.array(sorted(rows), np.int64).reshape(-1, 5).T
+    firsts = {x: i for i, x in reversed(list(enumerate(length.tolist())))}
+
+    @F.pandas_udf("struct<sequence:long,offset:long>")
+    def place(lengths: pd.Series, of: pd.Series) -> pd.DataFrame:
+        out = np.empty((2, len(lengths)), np.int64)
+        for x, index in lengths.groupby(lengths).indices.items():
+            rank, low = of.to_numpy()[index], firsts[x]
+            slot = low + np.searchsorted(start[low : low + np.searchsorted(length[low:], x, "right")], rank, "right") - 1
+            nth = rank - start[slot]
+            out[0, index], out[1, index] = sequence[slot] + nth // times[slot], offset[slot] + nth % times[slot] * x
+        return pd.DataFrame({"sequence": out[0], "offset": out[1]})
+
+    return place
+
+
+def pack(docs: DataFrame, path: str | None = None, end: int = END, most: int = SEQUENCE, added: str | None = ADDED) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (little-endian
     unsigned 32-bit numbers).
 
     Each row of docs (doc_id, text; other columns are ignored) is one document, repeated rows and null doc_ids included;
-    a null or empty text holds the end id alone. Pieces of a sequence lie side by side from offset 0. Documents are cut
-    every `most` ids only. Packed sequences have even ids, whole ones odd ids. An empty table gives an empty result.
+    a null or empty text holds the end id alone. The string of an added token of the file `added` (<|endoftext|>) is that
+    token's id wherever it stands in a text; with `added` None it is text like any other. Pieces of a sequence lie side by
+    side from offset 0. Documents are cut every `most` ids only. Packed sequences have even ids, whole ones odd ids. An
+    empty table gives an empty result.
     """
     path = path or public_tokenizers.path(VOCABULARY)
+    added = public_tokenizers.path(added) if added else None
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    pieces = materialised(texts.mapInArrow(_pieces(path, end, most), _PIECES))
+    pieces = materialised(texts.mapInArrow(_pieces(path, added, end, most), _PIECES))
     given = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     rest = pieces.filter(F.col("length") < most)
-    cells = max(1, round(rest.count() / cell))
-    rest = rest.withColumn("cell", F.pmod(F.xxhash64("doc_id", "ids_crc32", F.lit(7)), F.lit(cells)))
-    counts = rest.groupBy("cell", "length").agg(F.count(F.lit(1)).alias("n"))
-    places = counts.groupBy("cell").applyInPandas(_places(most), "cell long, length long, rank long, sequence long, offset long")
-    ranked = rest.withColumn("rank", F.row_number().over(Window.partitionBy("cell", "length").orderBy("doc_id", "start")).cast("long") - 1)
-    packed = ranked.join(places, ["cell", "length", "rank"])
-    packed = packed.select(*given, ((F.col("sequence") * cells + F.col("cell")) * 2).alias("sequence_id"), "offset", "ids")
+    tasks = checkpointed(rest.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")))
+    histogram = {r.length: r.n for r in tasks.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = rest.join(tasks.select("part", "length", before.alias("before")), ["part", "length"])
+    packed = ranked.withColumn("at", _places(histogram, most)("length", F.col("before") + F.col("place")))
+    packed = packed.select(*given, (F.col("at.sequence") * 2).alias("sequence_id"), "at.offset", "ids")
     whole = pieces.filter(F.col("length") == most)
     whole = whole.select(*given, (F.monotonically_increasing_id() * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "ids")
     return packed.unionByName(whole)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts are one piece of the end id alone; rows that repeat are documents of their own."""
     return pack(table(spark, sf_dir, "documents")).drop("ids")

@@ -263,7 +263,6 @@ def test_line_dedup(odd, empty):
 def _check_packing(pieces, texts_of: dict) -> None:
     pieces = list(pieces)
     ids = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    ids.encode_special_tokens = True
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in pieces:
         by_doc[r.doc_id].append(r)
@@ -292,10 +291,19 @@ def test_packing(spark, sf, texts):
     assert used / (2048 * len({r.sequence_id for r in rows})) > 0.97
 
 
-def test_packing_of_odd_rows(odd, empty):
-    rows = packing.pack(odd.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), cell=3).collect()
-    _check_packing(rows, {i: t or "" for i, t in ODD if i is not None})
-    assert packing.pack(odd).filter("start = 0").count() == len(ODD)
+def test_packing_of_odd_rows(spark, odd, empty):
+    """Rows that repeat, and those without an id, are documents of their own: told apart by an id of each row."""
+    rows = [*(t or "" for _, t in ODD), "<|endoftext|>", "a <|endoftext|> b<|endoftext|><|endoftext|>c", "<|endoftext|>x<|endoftext|"]
+    found = packing.pack(spark.createDataFrame([*enumerate(rows)], "doc_id long, text string")).collect()
+    _check_packing(found, dict(enumerate(rows)))
+    same = spark.createDataFrame([(i if i % 3 else None, "same text") for i in range(300)], "doc_id long, text string")
+    same = packing.pack(same.union(odd.select("doc_id", "text"))).collect()
+    places = [(r.sequence_id, r.offset) for r in same]
+    assert len(places) == len(set(places)) and sum(r.start == 0 for r in same) == 300 + len(ODD)
+    want = Counter([(i if i % 3 else None, "same text") for i in range(300)] + [(i, t or "") for i, t in ODD])
+    ids = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = Counter((r.doc_id, r.doc_tokens) for r in same if r.start == 0)
+    assert got == sum((Counter({(i, len(ids.encode(t).ids) + 1): n}) for (i, t), n in want.items()), Counter())
     assert packing.pack(empty).count() == 0
 
 
@@ -306,9 +314,9 @@ def test_pack_lengths(seed):
     packs = packing.pack_lengths(histogram, 100)
     held = Counter()
     for n, lengths in packs:
-        assert n > 0 and sum(lengths) <= 100
-        for x in lengths:
-            held[x] += n
+        assert n > 0 and sum(x * times for x, times in lengths) <= 100
+        for x, times in lengths:
+            held[x] += n * times
     assert held == histogram
 
 
