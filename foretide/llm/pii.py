@@ -1,17 +1,22 @@
 """Personal data: fixed rules, and a character-level bidirectional LSTM with a CRF on top that adds what rules miss.
 
-The model is trained in numpy on labelled spans: values of each kind as people write them, set into text, among values
-that look alike but are none. Windows of fixed length lie over each other at half their length; every window that holds a
-digit, an at sign or a written-out one is decoded. Each character takes its label from the window in which it lies
-furthest from the edges, so that labels are those of one sequence over the whole text. Spans of the rules always stay, and
-a span of the model is added only where it touches none of them.
+The model is trained in numpy on labelled spans: those that the rules find in a bounded sample of the documents, in their
+surroundings, and values of each kind as people also write them, set into text among values that look alike but are none.
+
+A span that it can find holds a digit, an at sign, or a written-out one with a dot to follow, so what lies within a window's length of such a
+sign is read, and more where a span reaches further. There, windows of fixed length lie over each other at half their length; each character takes
+its label scores from the window in which it lies furthest from the edges, and one Viterbi path over all of them gives the
+labels, so that windows are reconciled over the whole stretch by the CRF's transitions; what lies between stretches is
+outside. Spans of the rules always stay, and a span of the model is added only where it touches none of them.
 """
 
 from __future__ import annotations
 
+import random
 import re
+import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,7 +34,14 @@ CHARS = 95 + 3
 #: Labels: outside, then begin and inside of each kind.
 LABELS = 1 + 2 * len(KINDS)
 #: Mean certainty that a span of the model needs.
-CERTAIN = 0.9
+CERTAIN = 0.8
+#: Characters decoded in one path; longer stretches are cut into such, which overlap by SEAM.
+STRETCH = 1 << 16
+SEAM = 512
+#: Documents that labelled windows are taken from, about (all, if fewer), and windows; so many are generated besides.
+SAMPLE = 20_000
+LABELLED = 3000
+GENERATED = 4000
 
 Span = tuple[int, int, str]
 
@@ -39,8 +51,8 @@ _domain = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++").match
 _ip = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++").finditer
 _card = re.compile(r"[0-9](?:[ -]?[0-9])++").finditer
 _phone = re.compile(r"\+[0-9][ ().0-9-]+[0-9]").finditer
-_sign = re.compile(r"[0-9@]|[\[(] ?at ?[\])]").search
-_signs = re.compile(r"[0-9@]|[\[(] ?at ?[\])]").finditer
+_digit = re.compile(r"[0-9]").search
+_signs = re.compile(r"[0-9@]|(?<![^\W_])(?i:at)(?![^\W_])(?=.{0,48}?(?:(?<![^\W_])(?i:dot)(?![^\W_])|\.[^\W_]))").finditer
 
 
 def _emails(text: str) -> Iterator[Span]:
@@ -63,8 +75,8 @@ def _luhn(digits: str) -> bool:
 def rule_spans(text: str) -> list[Span]:
     """(start, end, kind) by start, then kind as listed; positions count code points."""
     out = list(_emails(text))
-    if _sign(text):
-        out += [(*m.span(), "ip") for m in _ip(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+    if _digit(text):
+        out += [(*m.span(), "ip") for m in _ip(text) if all(len(d := p.lstrip("0")) < 4 and int(d or 0) <= 255 for p in m[0].split("."))]
         for m in _card(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 14 <= len(digits) <= 19 and _luhn(digits):
@@ -179,39 +191,63 @@ class Tagger:
         return path
 
 
-def _value(rng: np.random.Generator, kind: str) -> str:
-    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
-    name = lambda a, b: "".join(chr(97 + x) for x in rng.integers(0, 26, rng.integers(a, b)))
-    pick = lambda *x: x[rng.integers(len(x))]
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _digits(rng: random.Random, n: int) -> str:
+    return f"{rng.randrange(10**n):0{n}d}"
+
+
+def _word(rng: random.Random, low: int, high: int) -> str:
+    return "".join(rng.choices(_LETTERS, k=rng.randint(low, high)))
+
+
+def _value(rng: random.Random, kind: str) -> str:
+    """A value of a kind, as people write it."""
+    digits, word, pick = (lambda n: _digits(rng, n)), (lambda a, b: _word(rng, a, b)), (lambda *x: rng.choice(x))
     if kind == "email":
-        user = name(3, 9) + pick("", "." + name(3, 8), digits(2), "_" + name(2, 5))
-        at, dot = pick(("@", "."), ("@", "."), (" [at] ", " [dot] "), (" (at) ", " (dot) "), (" [at] ", "."), ("(at)", "."), ("(at)", "(dot)"), ("[at]", "[dot]"), (" (at) ", "."))
-        return user + at + name(3, 9) + pick("", digits(1)) + dot + pick("com", "org", "net", "de", "example.com")
+        user = word(3, 8) + pick("", "." + word(3, 7), digits(2), "_" + word(2, 4))
+        opened, closed = pick(("[", "]"), ("(", ")"), ("{", "}"), ("", ""))
+        space = " " if not opened else pick("", " ")
+        at, dot = f"{space}{opened}at{closed}{space}", f"{space}{opened}dot{closed}{space}"
+        at, dot = pick(("@", "."), (at, dot), (at, dot), (at, "."))
+        value = user + at + word(3, 8) + pick("", digits(1), "-" + word(2, 4)) + dot + pick("com", "org", "net", "de", "example" + dot + "com")
+        form = rng.random()
+        return value.upper() if form < 0.1 else value.replace("at", "AT").replace("dot", "DOT") if form < 0.2 else value
     if kind == "ip":
-        return ".".join(str(x) for x in rng.integers(0, 256, 4))
+        return ".".join(str(rng.randrange(256)) for _ in range(4))
     if kind == "card":
         head = digits(15)
         whole = next(head + d for d in "0123456789" if _luhn(head + d))
         sep = pick("", "", " ", "-")
         return sep.join(whole[i : i + 4] for i in range(0, 16, 4))
     area, a, b = digits(3), digits(3), digits(4)
-    return pick(f"+1 ({area}) {a}-{b}", f"({area}) {a}-{b}", f"{area}-{a}-{b}", f"+{digits(2)} {area} {a} {b}", f"+1-{area}-{a}-{b}")
-
-
-def _lookalike(rng: np.random.Generator) -> str:
-    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
-    pick = lambda *x: x[rng.integers(len(x))]
-    token = "".join("0123456789abcdef"[x] for x in rng.integers(0, 16, rng.integers(20, 40)))
-    many = digits(rng.integers(1, 24))
-    return pick(f'token = "{token}"', f"Version {digits(1)}.{digits(1)}", f"CC BY-NC 4.{digits(1)}", f"19{digits(2)}-0{digits(1)}-1{digits(1)}", many, many, f"{digits(2)}.{digits(2)}", f"${digits(3)},{digits(3)}", f"{digits(2)}%", f"{digits(1)}.{digits(1)}.{digits(2)}", f"page {digits(3)}", f"{digits(2)}:{digits(2)}:{digits(2)}", f"@{token[:6]}", f"{digits(2)}-{digits(2)}")
-
-
-def labelled_windows(rng: np.random.Generator, n: int) -> tuple[np.ndarray, np.ndarray]:
+    return pick(f"+1 ({area}) {a}-{b}", f"({area}) {a}-{b}", f"{area}-{a}-{b}", f"+{digits(2)} {area} {a} {b}", f"+1-{area}-{a}-{b}", f"{area} {a} {b}")
+
+
+def _lookalike(rng: random.Random) -> str:
+    """What holds digits, signs or the words for them and is no personal data."""
+    digits, word = (lambda n: _digits(rng, n)), (lambda: _word(rng, 2, 8))
+    many = lambda: digits(rng.randint(1, 23))
+    token = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
+    forms = (
+        lambda: f'token = "{token(rng.randint(20, 39))}"', lambda: f"Version {digits(1)}.{digits(1)}", lambda: f"CC BY-NC 4.{digits(1)}", lambda: f"19{digits(2)}-0{digits(1)}-1{digits(1)}", many, many,
+        lambda: f"{digits(2)}.{digits(2)}", lambda: f"${digits(3)},{digits(3)}", lambda: f"{digits(2)}%", lambda: f"{digits(1)}.{digits(1)}.{digits(2)}", lambda: f"page {digits(3)}",
+        lambda: f"{digits(2)}:{digits(2)}:{digits(2)}", lambda: f"@{token(6)}", lambda: f"{digits(2)}-{digits(2)}", lambda: f"{word()}-{digits(5)}-{digits(6)}", lambda: f"{word()}{digits(3)}.{word()}",
+        lambda: f"{word()} at {word()}. {word().capitalize()} {word()}", lambda: f"{word()} at the {word()} dot", lambda: f"at {digits(1)}.{digits(2)} {word()}", lambda: f"{word()} at {word()} {word()}.{word()}",
+        lambda: f"{word().upper()}.\n{word().upper()}!!", lambda: f"At {word()}, a dot {word()}",
+    )
+    return rng.choice(forms)()
+
+
+def labelled_windows(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """chars and labels, of shape (n, WINDOW), cut from generated text at any place."""
+    rng = random.Random(seed)
     chars, labels = np.full((n, WINDOW), CHARS - 1), np.zeros((n, WINDOW), np.int64)
     for row in range(n):
         text, marks = "", []
         while len(text) < 2 * WINDOW:
-            kind = rng.integers(0, 9)
+            kind = rng.randrange(9)
             if kind < len(KINDS):
                 value = _value(rng, KINDS[kind])
                 marks += [1 + 2 * kind] + [2 + 2 * kind] * (len(value) - 1)
@@ -219,23 +255,70 @@ def labelled_windows(rng: np.random.Generator, n: int) -> tuple[np.ndarray, np.n
                 value = _lookalike(rng)
                 marks += [0] * len(value)
             else:
-                value = " ".join("".join(chr(x) for x in rng.choice([*range(97, 123), 233, 252, 241], rng.integers(1, 9))) for _ in range(rng.integers(1, 6)))
-                value = value.capitalize() if rng.random() < 0.3 else value
+                value = " ".join("".join(rng.choices(_LETTERS + "éüñ", k=rng.randint(1, 8))) for _ in range(rng.randint(1, 5)))
+                form = rng.random()
+                value = value.capitalize() if form < 0.3 else value.upper() if form < 0.4 else value
                 marks += [0] * len(value)
-            after = (" ", " ", " ", ", ", ". ", "\n", "!! ", "% ", " | ")[rng.integers(9)]
+            after = rng.choice((" ", " ", " ", ", ", ". ", "\n", "!! ", "% ", " | "))
             text += value + after
             marks += [0] * len(after)
-        at = rng.integers(0, len(text) - WINDOW + 1)
+        at = rng.randint(0, len(text) - WINDOW)
         chars[row], labels[row] = codes(text[at : at + WINDOW]), marks[at : at + WINDOW]
     return chars, labels
 
 
-@cache
-def trained(hidden: int = HIDDEN, steps: int = 1000, batch: int = 64, seed: int = 5) -> Tagger:
-    """By Adam on the CRF's log likelihood; the same parameters give the same model. Once in a process."""
+def document_windows(docs: DataFrame, sample: int = SAMPLE, most: int = LABELLED) -> bytes:
+    """Windows around what the rules find in a sample of documents, with its labels; as (chars, labels) of shape (n, WINDOW), bytes.
+
+    About `sample` documents are read for it, chosen by a hash of their text, and the driver gets `most` windows, those with
+    the smallest hashes: equal tables give equal windows. Each holds one found span at least, its place in it by the hash.
+    """
+    texts = docs.filter("text IS NOT NULL").select("text")
+    share = min(1.0, sample / max(1, texts.count()))
+    chosen = texts.filter(F.pmod(F.xxhash64("text", F.lit("labels")), F.lit(1_000_000)) < F.lit(share * 1_000_000))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, windows = [], []
+            for text in batch.column(0).to_pylist():
+                spans = rule_spans(text)
+                if not spans:
+                    continue
+                key = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+                start, end, _ = spans[key % len(spans)]
+                at = max(0, min(start - key % WINDOW // 2, len(text) - WINDOW))
+                chars, labels = np.full(WINDOW, CHARS - 1), np.zeros(WINDOW, np.int64)
+                piece = codes(text[at : at + WINDOW])
+                chars[: len(piece)] = piece
+                for a, b, kind in reversed(spans):  # of spans that overlap the first stays
+                    if a >= at and b <= at + WINDOW:
+                        mark = 1 + 2 * KINDS.index(kind)
+                        labels[a - at : b - at] = mark + 1
+                        labels[a - at] = mark
+                    elif a < at + WINDOW and b > at:  # cut by the window
+                        chars[max(0, a - at) : b - at] = CHARS - 1
+                        labels[max(0, a - at) : b - at] = 0
+                keys.append(key)
+                windows.append(np.stack([chars, labels]).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(windows, pa.binary())], ["key", "window"])
+
+    found = chosen.mapInArrow(run, "key long, window binary").distinct().orderBy("key", "window").limit(most)
+    return b"".join(bytes(r.window) for r in found.collect())
+
+
+def learned(docs: DataFrame) -> Tagger:
+    """The tagger of a table of documents."""
+    return trained(document_windows(docs))
+
+
+@lru_cache(maxsize=4)
+def trained(windows: bytes = b"", hidden: int = HIDDEN, steps: int = 500, batch: int = 64, seed: int = 5) -> Tagger:
+    """By Adam on the CRF's log likelihood, over generated windows and those given; equal arguments give the same model."""
     rng = np.random.default_rng(seed)
     tagger = Tagger.fresh(rng, hidden)
-    chars, labels = labelled_windows(rng, 4000)
+    chars, labels = labelled_windows(seed, GENERATED)
+    given = np.frombuffer(windows, np.uint8).reshape(-1, 2, WINDOW).astype(np.int64)
+    chars, labels = np.concatenate([chars, given[:, 0]]), np.concatenate([labels, given[:, 1]])
     first = {k: np.zeros_like(v) for k, v in tagger.p.items()}
     second = {k: np.zeros_like(v) for k, v in tagger.p.items()}
     for step in range(1, steps + 1):
@@ -258,68 +341,107 @@ def trained(hidden: int = HIDDEN, steps: int = 1000, batch: int = 64, seed: int
     return tagger
 
 
-def _windows(text: str, base: list[Span]) -> list[int]:
-    """Starts of the windows that hold a sign outside of all base spans; they lie WINDOW / 2 apart."""
-    half, out, spans = WINDOW // 2, set(), iter([*base, (len(text) + 1, len(text) + 1, "")])
+def _stretches(text: str, base: list[Span]) -> list[list[int]]:
+    """[start, end) of what lies within WINDOW of a sign outside of all base spans."""
+    out: list[list[int]] = []
+    spans = iter([*base, (len(text) + 1, len(text) + 1, "")])
     now = next(spans)
     for m in _signs(text):
         while now[1] <= m.start():
             now = next(spans)
         if m.start() < now[0]:
-            k = m.start() // half
-            out |= {max(0, k - 1), k}
-    return [k * half for k in sorted(out)]
+            a, b = max(0, m.start() - WINDOW), min(len(text), m.start() + WINDOW)
+            if out and a <= out[-1][1]:
+                out[-1][1] = b
+            else:
+                out.append([a, b])
+    return out
 
 
-def model_spans(tagger: Tagger, texts: list[str], bases: list[list[Span]], certain: float = CERTAIN, batch: int = 1024) -> list[list[Span]]:
-    """What the tagger adds to each text's base spans."""
-    jobs = [(i, at) for i, (text, base) in enumerate(zip(texts, bases, strict=True)) for at in _windows(text, base)]
-    marks: dict[int, dict[int, tuple[int, int, float]]] = {}
+def _scores(tagger: Tagger, pieces: list[np.ndarray], batch: int = 1024) -> list[np.ndarray]:
+    """Label scores of each piece's characters, each from the window in which it lies furthest from the edges."""
+    half, quarter = WINDOW // 2, WINDOW // 4
+    jobs = [(i, at) for i, piece in enumerate(pieces) for at in range(0, max(1, len(piece) - half), half)]
+    out = [np.empty((len(p), LABELS), np.float32) for p in pieces]
     for a in range(0, len(jobs), batch):
         part = jobs[a : a + batch]
         chars = np.full((len(part), WINDOW), CHARS - 1)
         for row, (i, at) in enumerate(part):
-            piece = codes(texts[i][at : at + WINDOW])
+            piece = pieces[i][at : at + WINDOW]
             chars[row, : len(piece)] = piece
         scores, _ = tagger.forward(chars)
-        path, sure = tagger.viterbi(scores), tagger.marginals(scores)[0]
         for row, (i, at) in enumerate(part):
-            held = marks.setdefault(i, {})
-            for k in range(min(WINDOW, len(texts[i]) - at)):
-                inner, label = min(k, WINDOW - 1 - k), path[row, k]
-                if at + k not in held or inner > held[at + k][0]:
-                    held[at + k] = (inner, int(label), float(sure[row, k, label]))
+            low, high = (0 if not at else quarter), min(WINDOW, len(pieces[i]) - at)
+            out[i][at + low : at + high] = scores[row, low:high]  # the next window takes its share over
+    return out
+
+
+def _decoded(tagger: Tagger, scores: list[np.ndarray], cells: int = 1 << 18) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Labels of each piece by one path, and their certainty. What is added to make lengths equal is outside."""
+    order = sorted(range(len(scores)), key=lambda i: len(scores[i]))
+    out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0))] * len(scores)
+    at = 0
+    while at < len(order):
+        n = 1
+        while at + n < len(order) and (n + 1) * len(scores[order[at + n]]) <= cells and len(scores[order[at + n]]) <= 2 * len(scores[order[at]]):
+            n += 1
+        part = order[at : at + n]
+        padded = np.full((n, len(scores[part[-1]]), LABELS), -1e4, np.float32)
+        padded[:, :, 0] = 0
+        for row, i in enumerate(part):
+            padded[row, : len(scores[i])] = scores[i]
+        path = tagger.viterbi(padded)
+        sure = np.take_along_axis(tagger.marginals(padded)[0], path[:, :, None], axis=2)[:, :, 0]
+        for row, i in enumerate(part):
+            out[i] = (path[row, : len(scores[i])], sure[row, : len(scores[i])])
+        at += n
+    return out
+
+
+def _runs(labels: np.ndarray, sure: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
+    """start, end, kind and mean certainty. An inside label with none of its kind before it begins a span as well."""
+    kinds = np.where(labels > 0, (labels + 1) // 2, 0)
+    new = np.concatenate([[True], (kinds[1:] != kinds[:-1]) | (labels[1:] % 2 == 1)])
+    starts = np.flatnonzero(new & (kinds > 0))
+    ends = np.flatnonzero(np.concatenate([new[1:] | (kinds[:-1] == 0), [True]]) & (kinds > 0)) + 1
+    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+        yield a, b, int(kinds[a]) - 1, float(sure[a:b].mean())
+
+
+def model_spans(tagger: Tagger, texts: list[str], bases: list[list[Span]], certain: float = CERTAIN) -> list[list[Span]]:
+    """What the tagger adds to each text's base spans."""
+    coded: dict[int, np.ndarray] = {}
+    jobs: list[tuple[int, int, int]] = []
+    for i, (text, base) in enumerate(zip(texts, bases, strict=True)):
+        for a, b in _stretches(text, base):
+            coded[i] = codes(text) if i not in coded else coded[i]
+            jobs += [(i, x, min(x + STRETCH, b)) for x in range(a, max(a + 1, b - SEAM), STRETCH - SEAM)]
     out: list[list[Span]] = [[] for _ in texts]
-    for i, held in marks.items():
-        text, base = texts[i], bases[i]
-        runs: list[tuple[int, int, int, list[float]]] = []
-        for at in sorted(held):
-            _, label, p = held[at]
-            kind = (label - 1) // 2
-            if not label:
+    while jobs:
+        found, further = _decoded(tagger, _scores(tagger, [coded[i][a:b] for i, a, b in jobs])), []
+        for (i, a, b), (labels, sure) in zip(jobs, found, strict=True):
+            text, base = texts[i], bases[i]
+            wide = max(0, a - WINDOW * bool(labels[0])), min(len(text), b + WINDOW * bool(labels[-1]))
+            if wide != (a, b) and b - a < STRETCH:  # a span goes on where nothing was read
+                further.append((i, *wide))
                 continue
-            if label % 2 == 0 and runs and runs[-1][1] == at and runs[-1][2] == kind:
-                runs[-1] = (runs[-1][0], at + 1, kind, [*runs[-1][3], p])
-            elif label % 2:
-                runs.append((at, at + 1, kind, [p]))
-        for start, end, kind, p in runs:
-            apart = all(end <= s or start >= e for s, e, _ in base)
-            if apart and _plausible(KINDS[kind], text, start, end) and sum(p) / len(p) >= certain:
-                out[i].append((start, end, KINDS[kind]))
+            for start, end, kind, p in _runs(labels, sure):
+                start, end = start + a, end + a
+                apart = all(end <= s or start >= e for s, e, _ in base)
+                if apart and p >= certain and _valid(KINDS[kind], text[start:end]) and (start, end, KINDS[kind]) not in out[i]:
+                    out[i].append((start, end, KINDS[kind]))
+        jobs = further
     return out
 
 
-def _plausible(kind: str, text: str, start: int, end: int) -> bool:
-    """A span holds as much as its kind needs, and doesn't end within a word or number."""
-    value, digits = text[start:end], sum("0" <= c <= "9" for c in text[start:end])
-    edges = not (start and text[start - 1].isalnum() and value[0].isalnum()) and not (end < len(text) and text[end].isalnum() and value[-1].isalnum())
+def _valid(kind: str, value: str) -> bool:
+    """What makes a value one of its kind: a sign and a dot, as characters or words; a number's digits, and their sum for a card."""
     if kind == "email":
-        return edges and re.fullmatch(r"[\w.%+-]+ ?(@|[\[(] ?at ?[\])]) ?[\w-]+( ?(\.|[\[(] ?dot ?[\])]) ?[\w-]+)+", value) is not None
-    if kind == "phone":
-        return edges and 10 <= digits <= 15 and re.fullmatch(r"\(?\+?[0-9][ ().0-9-]*[0-9]", value) is not None and not re.fullmatch(r"[0-9]+", value)
-    if kind == "card":
-        return edges and 14 <= digits <= 19 and re.fullmatch(r"[0-9][0-9 -]*[0-9]", value) is not None and _luhn(re.sub(r"[ -]", "", value))
-    return edges and re.fullmatch(r"([0-9]{1,3})(\.[0-9]{1,3}){3}", value) is not None and all(int(x) <= 255 for x in value.split("."))
+        return re.search(r"(?i)(@|at).+(\.|dot)", value) is not None
+    digits = "".join(c for c in value if "0" <= c <= "9")
+    if kind == "ip":
+        return 4 <= len(digits) <= 12 and value.count(".") == 3
+    return 14 <= len(digits) <= 19 and _luhn(digits) if kind == "card" else 10 <= len(digits) <= 15
 
 
 def find(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, str, bool]]]:
@@ -382,8 +504,10 @@ def _listed(spans: Column) -> Column:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The counts and base_sha256 are those of the rules; spans also holds what the model adds (n_added)."""
-    found = find_personal_data(table(spark, sf_dir, "documents"))
+    """The counts and base_sha256 are those of the rules; spans also holds what the model adds (n_added). A null or empty text
+    has no spans; rows that repeat are found alike."""
+    docs = table(spark, sf_dir, "documents")
+    found = find_personal_data(docs, learned(docs))
     base = F.filter("spans", lambda s: s["base"])
     count = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
     added = F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added")
