@@ -71,7 +71,7 @@ class _Words(dict):
     def encode(self, text: str) -> bytes:
         if len(self) > REMEMBERED:
             self.clear()
-        if self.cuts and self.cuts.search(text):
+        if any(x in text for x in self.added):
             return b"".join(self.added.get(x) or self.plain(x) for x in self.cuts.split(text) if x)
         return self.plain(text)
 
