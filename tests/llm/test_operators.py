@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -394,14 +395,37 @@ def test_top_k(spark, dim, size):
     got = defaultdict(list)
     for r in topk.top_k(df, F.col("vec_id") % 10 == 0, queries=4, candidates=16).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
-    whole = [[math.floor(256 * x) for x in v] for v in vectors.tolist()]
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in enumerate(vectors.tolist())} | {None: [256] * dim}
     for q in range(0, 90, 10):
-        scored = sorted((-sum(a * b for a, b in zip(whole[q], whole[c], strict=True)), c) for c in range(90) if c != q)
-        assert got.pop(q) == [(c, -s) for s, c in scored[:5]]
+        scored = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), c is None, c) for c, v in whole.items() if c != q)
+        assert got.pop(q) == [(c, -s) for s, _, c in scored[:5]]
     assert not got
     assert topk.top_k(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
+def test_top_k_of_groups(spark):
+    """Vectors in clusters: queries go to few groups only, and a tie over several blocks goes to the smaller ids."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(0, 1, (40, 32))
+    vectors = np.round(np.repeat(centres, 30, axis=0) + rng.normal(0, 0.02, (1200, 32)), 2)
+    vectors[300:400] = vectors[300]
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(1200 + i, v.tolist()[:20]) for i, v in enumerate(vectors[:60])] + [(600, vectors[600].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, queries=8, candidates=25, pivots=40).collect())
+    want, whole = [], [(i, np.floor(256 * np.array(v)).astype(np.int64)) for i, v in rows]
+    for q in range(0, 1251, 50):
+        pairs = [(-int(v @ c), i) for at, v in whole if at == q for i, c in whole if i != q and len(c) == len(v)]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(sorted(pairs)[:5], 1)]
+    assert got == sorted(want)
+    scaled = np.floor(256 * vectors)
+    near = (2 * topk.statistics(scaled, 32) @ topk.statistics(scaled[::30], 32).T - (topk.statistics(scaled[::30], 32) ** 2).sum(axis=1)).argmax(axis=1)
+    of = [topk.statistics(scaled[near == g], 32) for g in range(40) if (near == g).any()]
+    ends = np.stack([np.stack([-x.min(axis=0), x.max(axis=0)]) for x in of])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(0, 1200, 50), pa.int64()), pa.array([32] * 24, pa.int32()), pa.array([x.tobytes() for x in scaled[::50]], pa.binary())], ["vec_id", "dim", "vector"])
+    sent = next(topk._sent(5, {32: (np.arange(1200), scaled)}, {32: ends})([batch]))
+    assert sent.num_rows < 24 * len(of) / 2
+
+
 # 9. Personal data.
 
 
