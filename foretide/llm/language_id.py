@@ -1,9 +1,9 @@
 """Language identification by compression.
 
-For each language a zstandard raw-content dictionary is made of its most frequent words, the most frequent ones nearest to
-the text. A text is encoded with every dictionary, and the language with the smallest encoding wins. A text stands for
-this by its distinct words in their order, in lower case: repetitions and upper case say nothing about the language, but
-would drown what does. Where the margin is narrow although there is much to encode, the text is rejected.
+For each language a zstandard raw-content dictionary is made of labelled text: short pieces of a bounded sample of its
+documents, as they stand but for upper case. A text is cut into blocks of a few thousand bytes, so that what a long text has
+told about itself doesn't stand in for the dictionary; every block is encoded with every dictionary, and the language whose
+encodings are smallest in all wins. Where the margin is narrow although there is much to encode, the text is rejected.
 """
 
 from __future__ import annotations
@@ -18,44 +18,41 @@ from pyspark.sql import functions as F
 
 from foretide.llm.common import crc_mod, table
 
-#: Documents of a language that words are learned from, about (all, if fewer); chosen by a hash of their id.
+#: Texts of a language that pieces are taken from, about (all, if fewer), chosen by their hash; languages, the most frequent ones.
 SAMPLE = 2000
-#: Most frequent words of a language that are learned, and the bytes of its dictionary.
-WORDS = 20_000
+LANGUAGES = 256
+#: Characters of a piece, and bytes of a dictionary.
+PIECE = 500
 DICTIONARY = 112_000
 LEVEL = 5
-#: A margin under this is narrow, for texts of at least so many bytes of distinct words.
+#: Bytes of a text that are encoded at a time.
+BLOCK = 4096
+#: A margin under this is narrow, for texts of at least so many bytes.
 MARGIN = 0.002
 EVIDENCE = 400
 UNKNOWN = "und"
 
-_words = re.compile(r"[^\W\d_]+").findall
+_letter = re.compile(r"[^\W\d_]").search
 
 
-def learn(labelled: DataFrame, sample: int = SAMPLE, words: int = WORDS, size: int = DICTIONARY) -> list[tuple[str, bytes]]:
-    """(language, dictionary) of each language, those with most documents first, from the rows of labelled (doc_id, text,
-    lang) that have a text and a language. What is sent to the driver is bounded by languages x `words`."""
-    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    many = {r.lang: r.n for r in counts.collect()}
+def learn(labelled: DataFrame, sample: int = SAMPLE, piece: int = PIECE, size: int = DICTIONARY) -> list[tuple[str, bytes]]:
+    """(language, dictionary) of each language, those with most documents first, from the rows of labelled (text, lang) that
+    have a text and a language. Equal texts count once. The driver gets LANGUAGES x `sample` pieces at most."""
+    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("text", F.lit("sample")).alias("hash"))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("hash").alias("texts"))
+    many = counts.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not many:
         return []
-    share = F.create_map(*[F.lit(x) for lang, n in many.items() for x in (lang, min(1.0, sample / n))])[F.col("lang")]
-    chosen = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < share * 1_000_000)
-    found = chosen.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).filter("word <> ''")
-    found = found.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    top = found.withColumn("rank", rank).filter(F.col("rank") <= words).select("lang", "word", "rank").toPandas().sort_values("rank")
-    out = []
-    for lang in sorted(many, key=lambda x: (-many[x], x)):
-        kept, room = [], size
-        for word in top["word"][top["lang"] == lang]:
-            room -= len(word.encode()) + 1
-            if room < 0:
-                break
-            kept.append(word)
-        out.append((lang, " ".join(kept[::-1]).encode()))
-    return out
+    share = F.create_map(*[F.lit(x) for r in many for x in (r.lang, min(1.0, 1.2 * sample / max(1, r.texts)))])[F.col("lang")]
+    start = F.pmod("hash", F.greatest(F.char_length("text") - piece, F.lit(0)) + 1).cast("int") + 1
+    chosen = rows.filter(F.pmod("hash", F.lit(1_000_003)) < share * 1_000_003)
+    pieces = chosen.groupBy("lang", "hash").agg(F.min(F.lower(F.substr("text", start, F.lit(piece)))).alias("piece"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
+    found = pieces.withColumn("rank", rank).filter(F.col("rank") <= sample).select("lang", "piece", "rank").collect()
+    of: dict[str, list[tuple[int, str]]] = {r.lang: [] for r in many}
+    for r in found:
+        of[r.lang].append((r.rank, r.piece))
+    return [(lang, "\n".join(x for _, x in sorted(held)).encode("utf-8", "surrogatepass")[:size]) for lang, held in of.items()]
 
 
 def _compressors(dictionaries: list[tuple[str, bytes]], level: int) -> list[tuple[str, zstandard.ZstdCompressor]]:
@@ -69,11 +66,11 @@ def _compressors(dictionaries: list[tuple[str, bytes]], level: int) -> list[tupl
 
 def _classify(dictionaries: list[tuple[str, bytes]], level: int, margin: float, evidence: int):
     def best(text: str | None, compressors: list) -> tuple[str, float, bool]:
-        words = dict.fromkeys(_words(text.lower())) if text else {}
-        if not compressors or not any(c.isalpha() for w in words for c in w):
+        if not compressors or not text or not _letter(text):
             return UNKNOWN, 0.0, True
-        data = " ".join(words).encode("utf-8", "surrogatepass")
-        sizes = [len(c.compress(data)) for _, c in compressors]
+        data = text.lower().encode("utf-8", "surrogatepass")
+        blocks = [data[a : a + BLOCK] for a in range(0, len(data), BLOCK)]
+        sizes = [sum(len(c.compress(b)) for b in blocks) for _, c in compressors]
         least = min(sizes)
         at = sizes.index(least)
         second = min((s for i, s in enumerate(sizes) if i != at), default=None)
@@ -111,6 +108,7 @@ def training_rows(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null or empty text, or one without a letter, is `und`; rows that repeat are predicted alike."""
     docs = table(spark, sf_dir, "documents")
     found = identify(docs.select("doc_id", "text"), learn(training_rows(docs)))
     found = found.select(F.col("row.doc_id").alias("doc_id"), "lang_pred", "score", "rejected")

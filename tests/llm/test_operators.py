@@ -215,6 +215,16 @@ def test_languages_of_odd_rows(spark, documents, odd, empty):
     assert language_id.identify(empty, learnt).count() == 0
 
 
+def test_languages_are_learned_from_rows_without_ids(spark, documents):
+    """Null and repeated ids, and copies of one text, still give every language its dictionary; labels decide nothing else."""
+    copies = documents.limit(1).selectExpr("CAST(NULL AS LONG) AS doc_id", "'copie d''un texte' AS text", "'xx' AS lang").join(spark.range(5000)).drop("id")
+    rows = documents.selectExpr("CAST(7 AS LONG) AS doc_id", "text", "lang").unionByName(copies)
+    learnt = language_id.learn(rows)
+    assert learnt[0] == ("xx", b"copie d'un texte") and {x for x, _ in learnt} == {"xx", "en", "fr", "de", "es"}
+    assert all(0 < len(content) <= language_id.DICTIONARY for _, content in learnt)
+    assert language_id.learn(rows) == learnt
+
+
 # 4. and 5. Exact copies and lines.
 
 
