@@ -160,34 +160,81 @@ def test_lm(spark, sf, texts):
     assert sum(out[i].score for i in unseen) > sum(out[i].base_score for i in unseen)
 
 
-def test_lm_is_normalised(spark, odd, empty):
-    model = lm.learn(odd)
-    assert np.allclose((10.0 ** model.table.astype(np.float64)).sum(axis=1), 1, atol=1e-4)
-    assert lm.score(odd, model).count() == len(ODD)
-    # All words of a class, and those never seen, share its probability.
+def _plain_score(model, counts: dict, text: str) -> float:
+    """The model's log10 probability of a text, word by word."""
+    p, net, shares = model.network.p, model.network, Counter()
+    for w, n in counts.items():
+        shares[model.symbols.word_class(w)] += 0 if w in model.symbols.own else n + 1
+    words, total = [w.encode() for w in _words(text)], 0.0
+    symbol = lambda w: model.symbols.own.get(w, model.symbols.word_class(w))
+    line = [0] * lm.CONTEXT + [symbol(w) for w in words] + [0]
+    for at in range(lm.CONTEXT, len(line)):
+        h = sum(p["word"][line[at - 1 - c]] * p["near"][c] for c in range(lm.CONTEXT)).astype(np.float64)
+        groups = [math.exp(h @ p["group"][g] + p["group_bias"][g]) for g in range(net.parts)]
+        g = int(net.group_of[line[at]])
+        inside = {s: math.exp(h @ p["target"][s] + p["bias"][s]) for s in range(int(net.starts[g]), int(net.starts[g + 1]))}
+        total += math.log10(groups[g] / sum(groups) * inside[line[at]] / sum(inside.values()))
+        if line[at] > len(model.symbols.own):
+            word = words[at - lm.CONTEXT]
+            total += math.log10((counts.get(word, 0) + 1) / (shares[line[at]] + 1))
+    return total
+
+
+def test_lm_scores(spark, documents, odd, empty):
+    """Scores are those of the model's own parameters, and its probabilities add up to one."""
+    model = lm.learn(documents.filter("doc_id % 3 = 0"), sample=5000, own=500)
+    texts = {r.doc_id: r.text for r in documents.filter("doc_id % 3 = 1 AND n_chars < 2000").limit(4).collect()} | {-1: None, -2: "", -3: "nowhere seen nowhere"}
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
     counts = {bytes(r.word): r.n for r in model.counts.collect()}
-    for c in {lm.word_class(w) for w in counts if w not in model.symbol_of}:
-        own = [n + 1 for w, n in counts.items() if w not in model.symbol_of and lm.word_class(w) == c]
-        assert math.log10(sum(own) + 1) == pytest.approx(model.below[c - lm.OWN])
+    for r in lm.score(docs, model).collect():
+        assert r.score == pytest.approx(_plain_score(model, counts, texts[r.doc_id] or ""), rel=1e-4)
+    size = model.symbols.size
+    line = np.array([*range(1, 1 + lm.CONTEXT), 0])
+    each = [model.network.log_p(np.array([*line[:-1], s]), np.array([lm.CONTEXT]))[0] for s in range(size)]
+    assert sum(10.0**x for x in each) == pytest.approx(1, abs=1e-4)
+    got = sorted(((str(r.doc_id), r.n_tokens, r.score) for r in lm.score(odd, model).collect()), key=str)
+    want = sorted(((str(i), len(_words(t or "")) + 1, _plain_score(model, counts, t or "")) for i, t in ODD), key=str)
+    assert [g[:2] for g in got] == [w[:2] for w in want] and [g[2] for g in got] == pytest.approx([w[2] for w in want], rel=1e-4)
     nothing = lm.learn(empty)
     assert lm.score(empty, nothing).count() == 0
     assert all(math.isfinite(r.score) for r in lm.score(odd, nothing).collect())
 
 
 def test_frequent_words(spark):
-    """Only whole levels of like counts, whatever fits."""
+    """Whole levels of like counts, and a part of the first that doesn't fit."""
     rows = [(b"w%02d" % i, n) for i, n in enumerate([900, 900, 70, 70, 70, 3, 2, 2, 1, 1, 1])]
     counts = spark.createDataFrame(rows, "word binary, n long")
-    for most, held in ((11, 11), (10, 8), (7, 6), (4, 2), (1, 0)):
-        assert lm.frequent_words(counts, most) == rows[:held]
+    for most, whole in ((11, 11), (10, 8), (7, 6), (4, 2), (1, 0)):
+        held = lm.frequent_words(counts, most)
+        assert held[:whole] == rows[:whole] and len(held) <= most and {*held} <= {*rows}
+    alike = spark.range(20_000).selectExpr("CAST(id AS STRING) AS w").selectExpr("CAST(w AS BINARY) AS word", "1L AS n")
+    assert 4000 < len(lm.frequent_words(alike, 5000)) <= 5000
     assert lm.frequent_words(counts.limit(0)) == []
 
 
 def test_lm_learns_what_follows():
-    pairs = np.zeros((6, 6))
-    pairs[0, 1], pairs[1, 2], pairs[2, 3], pairs[3, 1], pairs[2, 4] = 500, 400, 300, 200, 100
-    p = 10.0 ** lm.train(pairs, size=8, steps=400)
-    assert p[0].argmax() == 1 and p[1].argmax() == 2 and p[2, 3] > p[2, 4] > p[2, 5]
+    """A language of rules: each word follows the two before it."""
+    rng = np.random.default_rng(4)
+    line = [1, 2]
+    for _ in range(20_000):
+        line.append((line[-1] * 3 + line[-2]) % 11 + 1 if rng.random() < 0.9 else int(rng.integers(1, 12)))
+    line = np.array(line)
+    network = lm.Network(np.bincount(line, minlength=12).astype(float))
+    windows = line[np.arange(lm.CONTEXT, len(line))[:, None] - np.r_[1 : lm.CONTEXT + 1, 0]]
+    before = network.log_p(line, np.arange(lm.CONTEXT, len(line))).mean()
+    for epoch in range(4):
+        network.train((windows[a : a + 256] for a in range(0, len(windows), 256)), 0.2, epoch)
+    after = network.log_p(line, np.arange(lm.CONTEXT, len(line))).mean()
+    assert after > before + 0.3
+
+
+def test_averages_are_weighted(spark):
+    network = lm.Network(np.ones(6), size=2)
+    size, rows = len(network.flat()), []
+    for member, (seen, value) in enumerate([(1, 2.0), (3, 4.0), (4, 8.0)]):
+        rows.append((0, member * 70, seen, (np.full(size, value, np.float32) * seen).tobytes()))
+    lm.averaged(network, spark.createDataFrame(rows, lm._SUMS))
+    assert np.allclose(network.flat(), (2 + 12 + 32) / 8)
 
 
 # 3. Languages.
