@@ -73,3 +73,8 @@ def momentum(home: Column, away: Column, home_possession: Column) -> Column:
     """The home side's share of a game, by attacks and possession."""
     attack = F.when(home + away > 0, home / (home + away)).otherwise(F.lit(0.5))
     return clamp(0.55 * attack + 0.45 * F.coalesce(home_possession / 100, F.lit(0.5)), 0.05, 0.95)
+
+
+def round_half_even(x: Column, places: int) -> Column:
+    """Of a number's binary value, with a tie to the even side (N11): a decimal of many digits has that value exactly."""
+    return F.bround(x.cast("decimal(38, 20)"), places).cast("double")

@@ -28,7 +28,7 @@ GUARDED = (
 WOMEN = ("women", "woman", "ladies", "dames", "feminine", "feminin", "feminines", "femenil", "femenino", "femenina", "frauen", "femminile")
 YOUTH = ("youth", "junior", "juniors", "reserves", "reserve", "academy")
 #: What a status text says when a game is off.
-CANCELLED = "postpon|cancel|abandon|report|annul"
+CANCELLED = ("postpon", "cancel", "abandon", "report", "annul")
 
 
 @F.pandas_udf(T.StringType())
@@ -108,7 +108,7 @@ def french_form(form: Column) -> Column:
 
 def cancelled(status: Column) -> Column:
     """X13."""
-    return F.lower(status).rlike(CANCELLED)
+    return F.lower(status).rlike("|".join(CANCELLED))
 
 
 def timeline_icon(text: Column) -> Column:
@@ -125,3 +125,10 @@ def host(url: Column) -> Column:
 def thumbnail(url: Column, cdn: str, width: int = 64) -> Column:
     """Pictures of one content host in a small size (X11)."""
     return F.when(host(url) == cdn, F.concat(F.split(url, r"\?")[0], F.lit(f"?w={width}"))).otherwise(url)
+
+
+def form_sentence(home: Column, away: Column, home_wins: Column, away_wins: Column) -> Column:
+    """What recent wins say of a fixture, in a sentence."""
+    better = lambda a, n, b, m: F.format_string("%s comes in better form (%d wins) than %s (%d).", a, n, b, m)
+    like = F.format_string("%s (%d wins) and %s (%d) are in like form.", home, home_wins, away, away_wins)
+    return F.when(home_wins > away_wins + 1, better(home, home_wins, away, away_wins)).when(away_wins > home_wins + 1, better(away, away_wins, home, home_wins)).otherwise(like)

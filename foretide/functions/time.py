@@ -22,9 +22,11 @@ def is_iso(text: Column) -> Column:
 
 
 def parse_day(text: Column) -> Column:
-    """dd/mm/yyyy or dd/mm/yy."""
-    day = lambda f: F.try_to_timestamp(text, F.lit(f)).cast("date")
-    return F.coalesce(F.when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), day("d/M/yyyy")), F.when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{2}$"), day("d/M/yy")))
+    """dd/mm/yyyy or dd/mm/yy (D07); two digits from 69 on are years of the last century."""
+    day = lambda f: F.try_to_timestamp(F.trim(text), F.lit(f)).cast("date")
+    short = day("d/M/yy")
+    short = F.when(F.year(short) >= 2069, F.add_months(short, -1200)).otherwise(short)
+    return F.coalesce(F.when(F.trim(text).rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), day("d/M/yyyy")), F.when(F.trim(text).rlike(r"^\d{1,2}/\d{1,2}/\d{2}$"), short))
 
 
 def season_code(day: Column) -> Column:

@@ -74,6 +74,43 @@ def changes(events: DataFrame, late: str = "2 days") -> DataFrame:
     return rows.select("user_id", "event_id", "ts", "fingerprint").groupBy("user_id").applyInPandasWithState(run, _CHANGES, "seen array<string>, version long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+_MARKS = "match_id long, version long, marked_at timestamp"
+
+
+def reference_marks(offers: DataFrame, minutes: int = 15, late: str = "1 day") -> DataFrame:
+    """The version in force `minutes` before each key's start, told once, by a timer on event time (T-06). Columns match_id, ts, kickoff, version.
+
+    State of a key: the last offer frozen by then. Offers may come in any order within `late`; when the watermark has passed the timer
+    the mark is told, and the state goes a day after the start, when nothing can come any more.
+    """
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        nothing = pd.DataFrame({"match_id": [], "version": [], "marked_at": []}).astype({"match_id": "int64", "version": "int64", "marked_at": "datetime64[us]"})
+        if state.hasTimedOut:
+            at, version, timer, told = state.get
+            if told:
+                state.remove()
+                yield nothing
+                return
+            state.update((at, version, timer, True))
+            state.setTimeoutTimestamp(max(timer + minutes * 60_000, state.getCurrentWatermarkMs()) + 86_400_000)
+            yield pd.DataFrame({"match_id": [key[0]], "version": [version], "marked_at": [pd.Timestamp(timer, unit="ms")]}) if version >= 0 else nothing
+            return
+        at, version, timer, told = state.get if state.exists else (-1, -1, -1, False)
+        for rows in frames:
+            timer = int(rows["kickoff"].max().timestamp() * 1000) - minutes * 60_000
+            early = rows[rows["ts"] <= rows["kickoff"] - pd.Timedelta(minutes=minutes)]
+            if len(early):
+                last = early.sort_values(["ts", "version"]).iloc[-1]
+                at, version = max((at, version), (int(last["ts"].value // 1000), int(last["version"])))
+        state.update((at, version, timer, told))
+        state.setTimeoutTimestamp(max(timer, state.getCurrentWatermarkMs() + 1) if not told else max(timer, state.getCurrentWatermarkMs()) + 86_400_000)
+        yield nothing
+
+    rows = timed(offers).withColumn("kickoff", F.col("kickoff").cast("timestamp")).withWatermark("ts", late)
+    return rows.groupBy("match_id").applyInPandasWithState(run, _MARKS, "at long, version long, timer long, told boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def joined_within(left: DataFrame, right: DataFrame, key: str, within: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Pairs of two streams with the same key, the right one at most `within` after the left; watermarks bound what is kept."""
     a = timed(left).withWatermark("ts", late).select(F.col(key).alias("key"), F.col("ts").alias("left_ts"), F.col("event_id").alias("left_id"))
