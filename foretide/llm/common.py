@@ -37,11 +37,13 @@ def crc_mod(name: str, divisor: int) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one where that is unset (tests, one machine)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir; a temporary one where that is unset, on a single machine (tests). On a cluster executors
+    would not see each other's files in it, so this is an error there."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        known = spark.sparkContext.getCheckpointDir()
-        root = known or f"file://{tempfile.mkdtemp(prefix='foretide-')}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='foretide-')}"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -54,15 +56,32 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def materialised(df: DataFrame) -> DataFrame:
-    """Large intermediate results: a compressed table in the shared folder, removed when the session ends."""
+    """Large intermediate results: a compressed table in the shared folder, removed by remove_tables() or when the session ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/foretide-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    _TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders of the tables that materialised() has written and nothing has removed yet.
+_TABLES: list[str] = []
+
+
+def tables_so_far() -> list[str]:
+    return list(_TABLES)
+
+
+def remove_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Removes tables that no result still to be computed reads."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _TABLES.remove(path)
+
+
 def _as_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = [np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) for batch in batches]
     if rows:

@@ -294,7 +294,7 @@ def test_frequent_digests(spark):
     assert {bytes(r.digest) for r in exact_dedup.frequent_digests(digests, 8).collect()} == {b"often", b"less"}
 
 
-def _lines(rows):
+def _lines(rows, least=2):
     rows, holders = [(i, t or "") for i, t in rows], defaultdict(set)
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))
     order = lambda i: -1 if i is None else i
@@ -303,7 +303,7 @@ def _lines(rows):
             if len(key(x)) >= 10:
                 holders[key(x)].add(order(i))
     for i, t in rows:
-        kept = [x for x in t.split("\n") if len(holders[key(x)]) < 2 or order(i) == min(holders[key(x)])]
+        kept = [x for x in t.split("\n") if len(holders[key(x)]) < least or order(i) == min(holders[key(x)])]
         yield i, "\n".join(kept), t.count("\n") + 1, t.count("\n") + 1 - len(kept)
 
 
@@ -315,6 +315,16 @@ def test_line_dedup(odd, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("least", [2, 3, 5])
+def test_line_dedup_by_documents(spark, least):
+    """A line counts once for each document, however often it stands there; a very long line and positions among many are kept."""
+    rng = random.Random(least)
+    some = ["a shared line of text %d" % i for i in range(12)] + ["", "short", "  A SHARED line of text 3 ", "y" * 200_000]
+    rows = [(rng.choice([i, i % 9, None]), "\n".join(rng.choices(some, k=rng.randint(0, 40)))) for i in range(60)]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), least=least).collect()
+    assert sorted(str((r.doc_id, r.text, *r.line_dedup)) for r in got) == sorted(map(str, _lines(rows, least)))
+
+
 # 6. Packing.
 
 
