@@ -615,6 +615,54 @@ def test_bpe_of_odd_rows(odd, empty, reference):
 # The pipeline.
 
 
+def _shingles(text: str) -> frozenset:
+    words = _words(text)
+    return frozenset(" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+
+
+def _alike(texts: dict) -> dict:
+    """The smallest id that can be reached over pairs of a similarity of 0.8 or more, by all pairs that share a shingle."""
+    sets, holders, links = {i: _shingles(t) for i, t in texts.items()}, defaultdict(list), {i: i for i in texts}
+    for i, s in sets.items():
+        for x in s:
+            holders[x].append(i)
+
+    def root(i):
+        while links[i] != i:
+            i = links[i]
+        return i
+
+    for pair in {(h[0], i) for h in holders.values() for i in h} | {(a, b) for h in holders.values() if len(h) < 50 for a in h for b in h if a < b}:
+        a, b = sets[pair[0]], sets[pair[1]]
+        if 5 * len(a & b) >= 4 * len(a | b):
+            x, y = sorted(map(root, pair))
+            links[y] = x
+    return {i: root(i) for i in texts}
+
+
+def test_similar_groups(spark, odd, empty):
+    """Nothing that is less alike is linked, and nearly all that is alike: texts with some words changed, in groups of two to forty."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices(string.ascii_lowercase, k=5))
+    texts, number = {}, 0
+    for group in range(60):
+        one = [word() for _ in range(rng.randint(60, 300))]
+        for _ in range(rng.choice([1, 2, 3, 40]) if group % 10 == 0 else rng.choice([1, 2])):
+            other = list(one)
+            for _ in range(max(1, len(one) * rng.randint(0, 3) // 100)):
+                other[rng.randrange(len(other))] = word()
+            texts[number], number = " ".join(other), number + 1
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()}
+    want = _alike(texts)
+    pairs = [(a, b) for a in texts for b in texts if a < b]
+    assert not any(got[a] == got[b] and want[a] != want[b] for a, b in pairs)
+    linked = [got[a] == got[b] for a, b in pairs if want[a] == want[b]]
+    assert len(linked) > 500 and sum(linked) / len(linked) > 0.9
+    of = sorted((r.component_id, str(r.doc_id)) for r in simhash.similar_groups(odd).collect())
+    assert len(of) == len(ODD) and len({c for c, _ in of}) == len(ODD) - 4  # two empties, blanks, and three equal texts
+    assert simhash.similar_groups(empty).count() == 0
+
+
 def test_stages(spark, sf, documents):
     """Each stage against plain Python over what its predecessor kept."""
     docs = documents
@@ -633,9 +681,9 @@ def test_stages(spark, sf, documents):
         elif name == "lines":
             assert after == {i: t for i, t, _, _ in _lines(before.items())}
         elif name == "near_duplicates":
-            ids = list(before)
-            fps = [_fingerprint(before[i] or "") for i in ids]
-            assert after == {i: before[i] for i, c in zip(ids, _groups(fps, ids), strict=True) if i == c}
+            of, lost = _alike({i: t or "" for i, t in before.items()}), set(before) - set(after)
+            assert after == {i: before[i] for i in after} and all(of[i] < i and of[i] in after or any(of[k] == of[i] and k < i for k in after) for i in lost)
+            assert len(lost) >= 0.9 * sum(i != c for i, c in of.items())
         else:
             for i, text in before.items():
                 left = _base(after[i] or "")
@@ -645,14 +693,33 @@ def test_stages(spark, sf, documents):
 
 
 def test_stages_of_odd_rows(spark, sf, odd, empty):
-    for rows in (odd, empty):
-        for _, stage in corpus_pipeline.STAGES[1:]:
-            out = stage(spark, rows, sf)
-            out.collect()
+    learnt = corpus_pipeline.languages(spark, odd, sf)
+    assert learnt.columns == odd.columns and not {"1", "2", "6"} & {str(r.doc_id) for r in learnt.collect()}
+    shared = {(r.doc_id, r.text) for r in corpus_pipeline.lines(spark, odd, sf).collect()}
+    assert shared == {(i, t) for i, t, _, _ in _lines(ODD)}
+    assert {(r.doc_id, r.text) for r in corpus_pipeline.personal_data(spark, odd, sf).collect()} == set(ODD)
+    assert {r.doc_id for r in corpus_pipeline.sequences(spark, odd, sf).collect()} == {i for i, _ in ODD}
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf).count() == 0
     kept = corpus_pipeline.near_duplicates(spark, odd, sf)
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "10", "3", "5", "7", "8", "9", "None"])
 
 
+def test_run(spark, sf, documents):
+    """The whole pipeline: its pieces are those of documents there are, each once, side by side."""
+    rows = corpus_pipeline.run(spark, sf).collect()
+    known, by_doc, by_sequence = {r.doc_id for r in documents.select("doc_id").collect()}, defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id].append(r)
+        by_sequence[r.sequence_id].append(r)
+    assert 0.5 * len(known) < len(by_doc) and by_doc.keys() <= known
+    for of in by_doc.values():
+        assert sum(r.length for r in of) == of[0].doc_tokens and len({r.start for r in of}) == len(of)
+    for of in by_sequence.values():
+        of = sorted(of, key=lambda r: r.offset)
+        assert [r.offset for r in of] == [sum(x.length for x in of[:i]) for i in range(len(of))] and sum(r.length for r in of) <= 2048
+
+
 def test_near_duplicates_by_row(spark, sf):
     """Texts that share a doc_id are judged one by one, and copies without doc_id are copies."""
     rng = random.Random(3)
