@@ -76,5 +76,14 @@ def momentum(home: Column, away: Column, home_possession: Column) -> Column:
 
 
 def round_half_even(x: Column, places: int) -> Column:
-    """Of a number's binary value, with a tie to the even side (N11): a decimal of many digits has that value exactly."""
-    return F.bround(x.cast("decimal(38, 20)"), places).cast("double")
+    """Of a number's binary value, with a tie to the even side (N11): what scaling by a power of ten rounds away is computed
+    from the halves of x's digits, and decides where the scaled value seems to lie on a half."""
+    scale = 10.0**places
+    wide = x * 134217729.0  # 2^27 + 1 cuts a double into two halves of its digits
+    high = wide - (wide - x)
+    scaled = x * scale
+    lost = (high * scale - scaled) + (x - high) * scale
+    low = F.floor(scaled).cast("double")
+    over = (scaled - low - 0.5) + lost
+    up = (over > 0) | ((over == 0) & (low % 2 != 0))
+    return F.when(up, low + 1).otherwise(low) / scale
