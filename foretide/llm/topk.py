@@ -33,8 +33,9 @@ QUERIES = 8192
 CANDIDATES = 32768
 #: Pairs are looked at for so many queries at a time.
 AT_ONCE = 64
-#: Groups, and rows that every query meets first; both, as numbers, at most so many of them.
+#: Groups at most, each of so many rows at least; rows that every query meets first; and numbers in all of these, at most.
 PIVOTS = 256
+GROUP = 2048
 SAMPLE = 2048
 NUMBERS = 1 << 20
 #: Share of pairs beyond which a level is computed for all of them at once.
@@ -233,7 +234,7 @@ def _by_dim(rows: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return {dim: (np.array([_NONE if r.vec_id is None else r.vec_id for r in of]), _matrix(r.vector for r in of)) for dim, of in kept.items()}
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = SCALE, queries: int = QUERIES, candidates: int = CANDIDATES, pivots: int = PIVOTS) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = SCALE, queries: int = QUERIES, candidates: int = CANDIDATES, pivots: int = PIVOTS, group_rows: int = GROUP) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row of vectors (vec_id, embedding) for which is_query, a condition
     on vec_id, holds, the k rows with the highest inner product of floor(scale x), ties to the smaller vec_id.
 
@@ -248,7 +249,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = SCALE,
     rows = checkpointed(given.mapInArrow(_scaled(scale), _ROW))
     fits = rows.filter(F.col("dim") <= NUMBERS)
     some = _by_dim(fits.orderBy(F.xxhash64("vec_id", "vector")).limit(SAMPLE).collect())
-    chosen = {dim: of[1][:pivots] for dim, of in some.items()}
+    groups = max(1, min(pivots, rows.count() // group_rows))
+    chosen = {dim: of[1][:groups] for dim, of in some.items()}
     dealt = checkpointed(rows.mapInArrow(_deal(chosen), _ROW + ", pivot int"))
     ends: dict[int, np.ndarray] = {}
     extents = dealt.mapInArrow(_extent, "dim int, pivot int, ends array<double>").select("dim", "pivot", F.posexplode("ends").alias("at", "x"))

@@ -460,7 +460,7 @@ def test_top_k(spark, dim, size):
     rows = [(i, v.tolist(), 0) for i, v in enumerate(vectors)] + [(200, None, 0), (201, [None] * dim, 0), (202, [float("nan")] * dim, 0), (203, [float("inf")] * dim, 0), (None, [1.0] * dim, 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, dim int")
     got = defaultdict(list)
-    for r in topk.top_k(df, F.col("vec_id") % 10 == 0, queries=4, candidates=16).orderBy("query_id", "rank").collect():
+    for r in topk.top_k(df, F.col("vec_id") % 10 == 0, queries=4, candidates=16, group_rows=8).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     whole = {i: [math.floor(256 * x) for x in v] for i, v in enumerate(vectors.tolist())} | {None: [256] * dim}
     for q in range(0, 90, 10):
@@ -478,7 +478,7 @@ def test_top_k_of_groups(spark):
     vectors[300:400] = vectors[300]
     rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(1200 + i, v.tolist()[:20]) for i, v in enumerate(vectors[:60])] + [(600, vectors[600].tolist())]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, queries=8, candidates=25, pivots=40).collect())
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, queries=8, candidates=25, pivots=40, group_rows=20).collect())
     want, whole = [], [(i, np.floor(256 * np.array(v)).astype(np.int64)) for i, v in rows]
     for q in range(0, 1251, 50):
         pairs = [(-int(v @ c), i) for at, v in whole if at == q for i, c in whole if i != q and len(c) == len(v)]
