@@ -190,6 +190,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null or empty text has no ids; rows that repeat are encoded alike."""
     both = decode(encode(table(spark, sf_dir, "documents")))
     return both.select(
         "doc_id",

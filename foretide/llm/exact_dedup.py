@@ -60,6 +60,7 @@ def exact_dedup(docs: DataFrame, counters: int = 1024) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null counts as empty; of rows without doc_id none stays unless all of a group are without; rows that repeat the largest doc_id stay alike."""
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 

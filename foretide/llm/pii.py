@@ -15,6 +15,7 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -416,22 +417,36 @@ def model_spans(tagger: Tagger, texts: list[str], bases: list[list[Span]], certa
         for a, b in _stretches(text, base):
             coded[i] = codes(text) if i not in coded else coded[i]
             jobs += [(i, x, min(x + STRETCH, b)) for x in range(a, max(a + 1, b - SEAM), STRETCH - SEAM)]
-    out: list[list[Span]] = [[] for _ in texts]
+    out: list[dict[Span, None]] = [{} for _ in texts]
+    taken = {i: _merged(bases[i]) for i in coded}
     while jobs:
         found, further = _decoded(tagger, _scores(tagger, [coded[i][a:b] for i, a, b in jobs])), []
         for (i, a, b), (labels, sure) in zip(jobs, found, strict=True):
-            text, base = texts[i], bases[i]
+            text, (starts, ends) = texts[i], taken[i]
             wide = max(0, a - WINDOW * bool(labels[0])), min(len(text), b + WINDOW * bool(labels[-1]))
             if wide != (a, b) and b - a < STRETCH:  # a span goes on where nothing was read
                 further.append((i, *wide))
                 continue
             for start, end, kind, p in _runs(labels, sure):
                 start, end = start + a, end + a
-                apart = all(end <= s or start >= e for s, e, _ in base)
-                if apart and p >= certain and _valid(KINDS[kind], text[start:end]) and (start, end, KINDS[kind]) not in out[i]:
-                    out[i].append((start, end, KINDS[kind]))
+                first = bisect_right(ends, start)  # of the spans of rules that end later
+                apart = first == len(starts) or starts[first] >= end
+                if apart and p >= certain and _valid(KINDS[kind], text[start:end]):
+                    out[i][start, end, KINDS[kind]] = None
         jobs = further
-    return out
+    return [list(x) for x in out]
+
+
+def _merged(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what spans in order of their start cover."""
+    starts, ends = [], []
+    for start, end, _ in spans:
+        if ends and start < ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
 
 
 def _valid(kind: str, value: str) -> bool:

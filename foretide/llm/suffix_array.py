@@ -470,6 +470,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, piece: int = PIECE, to
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null is empty; a text shorter than the strings loses nothing; rows that repeat are places of their own and lose what they share."""
     out = remove_repeats(table(spark, sf_dir, "documents"))
     removed = (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed")
     return out.select("doc_id", "n_bytes", removed, F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
