@@ -412,26 +412,28 @@ def _runs(labels: np.ndarray, sure: np.ndarray) -> Iterator[tuple[int, int, int,
 def model_spans(tagger: Tagger, texts: list[str], bases: list[list[Span]], certain: float = CERTAIN) -> list[list[Span]]:
     """What the tagger adds to each text's base spans."""
     coded: dict[int, np.ndarray] = {}
-    jobs: list[tuple[int, int, int]] = []
+    jobs: list[tuple[int, int, int, int, int]] = []  # text, start, end, and between which places the spans begin that are taken from it
     for i, (text, base) in enumerate(zip(texts, bases, strict=True)):
         for a, b in _stretches(text, base):
             coded[i] = codes(text) if i not in coded else coded[i]
-            jobs += [(i, x, min(x + STRETCH, b)) for x in range(a, max(a + 1, b - SEAM), STRETCH - SEAM)]
+            for x in range(a, max(a + 1, b - SEAM), STRETCH - SEAM):
+                y = min(x + STRETCH, b)
+                jobs.append((i, x, y, x if x == a else x + SEAM // 2, y if y == b else y - SEAM // 2))
     out: list[dict[Span, None]] = [{} for _ in texts]
     taken = {i: _merged(bases[i]) for i in coded}
     while jobs:
-        found, further = _decoded(tagger, _scores(tagger, [coded[i][a:b] for i, a, b in jobs])), []
-        for (i, a, b), (labels, sure) in zip(jobs, found, strict=True):
+        found, further = _decoded(tagger, _scores(tagger, [coded[i][a:b] for i, a, b, _, _ in jobs])), []
+        for (i, a, b, low, high), (labels, sure) in zip(jobs, found, strict=True):
             text, (starts, ends) = texts[i], taken[i]
             wide = max(0, a - WINDOW * bool(labels[0])), min(len(text), b + WINDOW * bool(labels[-1]))
             if wide != (a, b) and b - a < STRETCH:  # a span goes on where nothing was read
-                further.append((i, *wide))
+                further.append((i, *wide, *wide))
                 continue
             for start, end, kind, p in _runs(labels, sure):
                 start, end = start + a, end + a
                 first = bisect_right(ends, start)  # of the spans of rules that end later
                 apart = first == len(starts) or starts[first] >= end
-                if apart and p >= certain and _valid(KINDS[kind], text[start:end]):
+                if low <= start < high and apart and p >= certain and _valid(KINDS[kind], text[start:end]):
                     out[i][start, end, KINDS[kind]] = None
         jobs = further
     return [list(x) for x in out]
