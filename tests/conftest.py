@@ -6,6 +6,7 @@ import sys
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -41,7 +42,7 @@ def rows_of(frame) -> list[tuple]:
     """Rows as sorted texts by column name; numbers to six digits."""
 
     def plain(x):
-        if x is None or x != x:
+        if x is None or x is pd.NA or x != x:
             return "null"
         if isinstance(x, bool) or type(x).__name__ == "bool_":
             return str(bool(x)).lower()
