@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foretide.llm import bpe, exact_dedup, fill_middle, language_id, line_dedup, lm, minhash, packing, pii, simhash, suffix_array, topk
+from foretide.llm import bpe, exact_dedup, fill_middle, hard_negatives, language_id, line_dedup, lm, minhash, packing, pii, simhash, suffix_array, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": suffix_array.op1_suffix_dedup,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": pii.op9_pii,
     "op10_bpe": bpe.op10_bpe,
     "op11_minhash": minhash.op11_minhash,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_fill_middle": fill_middle.op13_fill_middle,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -27,5 +28,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op8_topk": topk.OP8_SQL,
     "op11_minhash": minhash.OP11_SQL,
+    "op12_hard_negatives": hard_negatives.OP12_SQL,
     "op13_fill_middle": fill_middle.OP13_SQL,
 }
