@@ -9,8 +9,9 @@ A bucket never emits pairs of its members but a star: all are compared with one
 Links that full sets confirm make components, and within one nothing is left to compare; so the centre goes and the next star
 of a bucket has an end in another component than its centre, taken from the component with the fewest members there. After
 STARS such rounds what remains are buckets in which sets meet that are less alike, such as those of a frequent passage. Their
-documents meet again by prefixes: two sets of the given similarity share one of their rarest shingles, a fifth of each.
-These buckets go on, with twice as many centres a round, until nothing is left to compare, so no link is lost at frequent keys.
+documents meet again by prefixes: two sets of the given similarity share one of their rarest shingles, a fifth of each. What
+shares such shingles across components makes groups, and their sets are compared in blocks of bounded size by an index of
+shingles in each task, which emits no more links than it has members. So no link is lost at frequent keys.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ SEED = 42
 STARS = 3
 #: Standard deviations by which a pair's share of equal bins may lie under that of pairs of the least similarity.
 SPARE = 6
+#: Bytes of sets in a block, at most about; a task holds two blocks.
+BLOCK = 1 << 24
 #: Tries for an empty bin whose donors are drawn beforehand; with one full bin of 128 one in 10^14 texts needs more.
 TRIES = 4096
 
@@ -169,14 +172,11 @@ def _apart(members: DataFrame) -> DataFrame:
     return members.join(keys, "key", "left_semi")
 
 
-def _centres(members: DataFrame, centres: int) -> DataFrame:
-    """key, centre (node, label): one for each of `centres` parts of a bucket, from the label with the fewest members in it, then the
-    one whose buckets are the fullest."""
-    few = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("here"))
-    order = F.struct(-F.col("here"), "weight", "node", "label")
-    part = F.pmod(F.xxhash64("node", "key"), F.lit(centres))
-    best = members.join(few, ["key", "label"]).groupBy("key", part.alias("part")).agg(F.max(order).alias("best"))
-    return best.select("key", F.col("best.node").alias("centre"), F.col("best.label").alias("of"))
+def _centres(members: DataFrame) -> DataFrame:
+    """key, centre, of (its label): from the label with the fewest members in the bucket, the one whose buckets are the fullest."""
+    best = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("here"), F.max(F.struct("weight", "node")).alias("best"))
+    first = best.groupBy("key").agg(F.max(F.struct(-F.col("here"), F.col("best.weight"), F.col("best.node").alias("node"), "label")).alias("first"))
+    return first.select("key", F.col("first.node").alias("centre"), F.col("first.label").alias("of"))
 
 
 def _weighed(members: DataFrame) -> DataFrame:
@@ -193,7 +193,7 @@ class _Labels:
         self.table: DataFrame | None = None
 
     def of(self, members: DataFrame) -> DataFrame:
-        """members (key, node, weight) with their labels."""
+        """members (node and other columns) with their labels."""
         if self.table is None:
             return members.withColumn("label", F.col("node"))
         return members.join(self.table.select("node", F.col("label").alias("known")), "node", "left").withColumn("label", F.coalesce("known", "node")).drop("known")
@@ -208,12 +208,13 @@ class _Labels:
         self.table = joined
 
 
-def _stars(members: DataFrame, labels: _Labels, nodes: DataFrame, sets: DataFrame, similarity: int, bins: int, rounds: int | None) -> DataFrame:
+def _stars(members: DataFrame, labels: _Labels, nodes: DataFrame, sets: DataFrame, similarity: int, bins: int, rounds: int) -> DataFrame:
     """Links members of buckets (key, node, weight), round by round; gives those of buckets in which something is left to compare."""
     members = checkpointed(_apart(labels.of(members)))
-    done = 0
-    while (rounds is None or done < rounds) and not members.isEmpty():
-        chosen = checkpointed(_centres(members, 1 if rounds else 1 << min(done, 20)))
+    for _ in range(rounds):
+        if members.isEmpty():
+            break
+        chosen = checkpointed(_centres(members))
         met = members.join(chosen, "key").filter("label <> of")
         ends = lambda f, x, y: f(F.struct("node", "label"), F.struct(F.col("centre").alias("node"), F.col("of").alias("label")))[x].alias(y)
         pairs = met.select(ends(F.least, "node", "a"), ends(F.greatest, "node", "b"), ends(F.least, "label", "la"), ends(F.greatest, "label", "lb")).distinct()
@@ -222,7 +223,6 @@ def _stars(members: DataFrame, labels: _Labels, nodes: DataFrame, sets: DataFram
             labels.add(links)
         left = members.join(chosen.select("key", F.col("centre").alias("node")), ["key", "node"], "left_anti").select("key", "node", "weight")
         members = checkpointed(_apart(labels.of(left)))
-        done += 1
     return members
 
 
@@ -236,7 +236,54 @@ def _prefixes(left: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return ranked.filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * similarity / 100) + 1).filter("times > 1").select("key", "node")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY, bins: int = BINS, rows: int = ROWS, stars: int = STARS) -> DataFrame:
+def _linked(similarity: int):
+    """Links (a, b) between the labels of a cell's sets (label, held), as many as join what the similarity joins."""
+
+    def run(cell: pd.DataFrame) -> pd.DataFrame:
+        labels, sets = cell["label"].to_numpy(np.int64), [np.frombuffer(x, np.uint64) for x in cell["held"]]
+        sizes = np.array([len(x) for x in sets])
+        distinct, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), sizes)[np.argsort(shingle, kind="stable")]
+        times = np.bincount(shingle, minlength=len(distinct))
+        first, ends = np.cumsum(times) - times, np.cumsum(sizes)
+        root = {x: x for x in labels.tolist()}
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        values, counts = np.unique(labels, return_counts=True)
+        found = []
+        for at in np.flatnonzero(labels != values[counts.argmax()]).tolist():  # of two labels one is not the most frequent
+            of = shingle[ends[at] - sizes[at] : ends[at]]
+            many = times[of]
+            place = np.repeat(first[of] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            common = np.bincount(owner[place], minlength=len(sets))
+            for b in np.unique(labels[(100 * common >= similarity * (sizes + sizes[at] - common)) & (labels != labels[at])]).tolist():
+                x, y = top(int(labels[at])), top(b)
+                if x != y:
+                    root[x] = y
+                    found.append((int(labels[at]), b))
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return run
+
+
+def _in_blocks(buckets: DataFrame, labels: _Labels, held: DataFrame, sets: DataFrame, similarity: int, block: int) -> DataFrame:
+    """Links (a, b) between the labels of all sets that meet in buckets (key, node), perhaps over others in between."""
+    met = checkpointed(_apart(labels.of(buckets)).select("key", "node"))
+    lows = met.groupBy("key").agg(F.min("node").alias("low"))
+    groups = components(met.join(lows, "key").select(F.col("node").alias("a"), F.col("low").alias("b"))).withColumnRenamed("label", "of")
+    members = checkpointed(labels.of(groups.join(held.select("node", "n"), "node")))
+    blocks = members.groupBy("of").agg(F.ceil(F.sum("n") * 8 / block).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "of").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = dealt.select("of", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label").join(sets, "node")
+    return cells.groupBy("of", "i", "j").applyInPandas(_linked(similarity), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY, bins: int = BINS, rows: int = ROWS, stars: int = STARS, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text; other columns are ignored).
 
     Texts whose sets of distinct shingles have a Jaccard similarity of `similarity` hundredths or more are linked, and component_id is
@@ -261,7 +308,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     labels = _Labels()
     left = _stars(members, labels, held, sets, similarity, bins, stars)
     if not left.isEmpty():
-        _stars(_weighed(_prefixes(left, sets, similarity)), labels, held, sets, similarity, bins, None)
+        links = checkpointed(_in_blocks(_prefixes(left, sets, similarity), labels, held, sets, similarity, block).distinct())
+        if not links.isEmpty():
+            labels.add(links)
     label: Column = F.col("node")
     if labels.table is not None:
         marked = marked.join(labels.table, "node", "left")
