@@ -36,7 +36,7 @@ BINS = 128
 ROWS = 4
 SEED = 42
 #: Rounds of stars in the buckets of the bands.
-STARS = 3
+STARS = 1
 #: Standard deviations by which a pair's share of equal bins may lie under that of pairs of the least similarity.
 SPARE = 6
 #: Bytes of sets in a block, at most about; a task holds two blocks.
