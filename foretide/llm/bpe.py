@@ -2,15 +2,21 @@
 
 The encoding of a text is built as a tree: a piece is cut in halves, the halves are encoded, and neighbours are joined by
 encoding a window around their boundary anew. A token sequence is the encoding of its bytes exactly if every two
-neighbouring tokens encode to themselves when taken together; so the window grows on a side until the pair at that edge
+neighbouring tokens encode to themselves when taken together; so the window doubles on a side until the pair at that edge
 does, and all tokens further out are then final. Pieces of the pre-tokenisation are joined by putting them in a row, and
 decoding puts the bytes of ids in a row.
+
+A word of any length ends: a window of n bytes takes n log n steps. Where windows reach the ends of their halves, as in a long
+run of one letter, halves are alike, and the last two of each level of the tree are kept. The memory of a word is some hundred
+bytes for each of its own.
 """
 
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import public_tokenizers
@@ -26,6 +32,8 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 WHITE_SPACE = r"\t-\r \x85\xa0  -     　"
 #: Encoded words and windows that a Python worker remembers; beyond it starts anew, so memory stays bounded.
 REMEMBERED = 400_000
+#: Bytes of a window beyond which merges are taken from a heap, and windows and halves are not remembered with others.
+SHORT = 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -69,6 +77,7 @@ class Encoder:
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.id_of = {b: i.to_bytes(4, "little") for b, i in ranks.items()}
+        self.own = {b: b for b in ranks}
         inner = pattern.replace(r"[^\s", f"[^{WHITE_SPACE}").replace(r"\S", f"[^{WHITE_SPACE}]").replace(r"\s", f"[{WHITE_SPACE}]")
         self.pieces = regex.compile(inner).findall
         self.known: dict[bytes, tuple[bytes, ...]] = {}
@@ -89,9 +98,44 @@ class Encoder:
                 pairs[at] = rank(parts[at] + parts[at + 1], none)
         return parts
 
+    def merged_long(self, data: bytes) -> list[bytes]:
+        """The same with the next merge from a heap, for long windows."""
+        none, rank, n = 1 << 31, self.ranks.get, len(data)
+        after, before, end = array("q", range(1, n + 1)), array("q", range(-1, n - 1)), array("q", range(1, n + 1))
+        of = array("q", [rank(data[i : i + 2], none) for i in range(n - 1)] + [none])  # the rank of a part and the next one
+        heap = [r << 40 | i for i, r in enumerate(of) if r < none]
+        heapify(heap)
+        while heap:
+            best = heappop(heap)
+            i = best & (1 << 40) - 1
+            if of[i] != best >> 40:
+                continue  # merged since
+            gone = after[i]
+            end[i], after[i], of[gone] = end[gone], after[gone], none
+            if (k := after[i]) < n:
+                before[k] = i
+                of[i] = new = rank(data[i : end[k]], none)
+                if new < none:
+                    heappush(heap, new << 40 | i)
+            else:
+                of[i] = none
+            if (k := before[i]) >= 0:
+                of[k] = new = rank(data[k : end[i]], none)
+                if new < none:
+                    heappush(heap, new << 40 | k)
+        out, at = [], 0
+        while at < n:
+            out.append(self.own[data[at : end[at]]])
+            at = after[at]
+        return out
+
     def window(self, tokens: tuple[bytes, ...]) -> tuple[bytes, ...]:
         data = b"".join(tokens)
+        if len(data) > SHORT:
+            return tuple(self.merged_long(data))
         if (found := self.known.get(data)) is None:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
             found = self.known[data] = tuple(self.merged(data))
         return found
 
@@ -101,25 +145,35 @@ class Encoder:
         if (new := self.window(seam)) == seam:
             return left + right
         while True:
-            far_left, far_right = left[: len(left) - i], right[j:]
-            stable_left = not far_left or self.window(seam := (far_left[-1], new[0])) == seam
-            stable_right = not far_right or self.window(seam := (new[-1], far_right[0])) == seam
+            at = len(left) - i
+            stable_left = not at or self.window(seam := (left[at - 1], new[0])) == seam
+            stable_right = j == len(right) or self.window(seam := (new[-1], right[j])) == seam
             if stable_left and stable_right:
-                return far_left + new + far_right
-            i += not stable_left
-            j += not stable_right
+                return left[:at] + new + right[j:]
+            i = i if stable_left else min(2 * i, len(left))
+            j = j if stable_right else min(2 * j, len(right))
             new = self.window(left[len(left) - i :] + right[:j])
 
-    def tree(self, data: bytes) -> tuple[bytes, ...]:
-        if (found := self.known.get(data)) is not None:
+    def tree(self, data: bytes, level: int = 0, recent: dict[int, list] | None = None) -> tuple[bytes, ...]:
+        """recent: by level of the tree the last two long parts with their encodings."""
+        if len(data) <= SHORT:
+            if (found := self.known.get(data)) is not None:
+                return found
+            if len(data) <= 2:
+                found = tuple(self.merged(data))
+            else:
+                half = len(data) // 2
+                found = self.join(self.tree(data[:half]), self.tree(data[half:]))
+            if len(data) <= 12:
+                self.known[data] = found
             return found
-        if len(data) <= 2:
-            found = tuple(self.merged(data))
-        else:
-            half = len(data) // 2
-            found = self.join(self.tree(data[:half]), self.tree(data[half:]))
-        if len(data) <= 12:
-            self.known[data] = found
+        recent = {} if recent is None else recent
+        for part, found in recent.get(level, ()):
+            if part == data:
+                return found
+        half = len(data) // 2
+        found = self.join(self.tree(data[:half], level + 1, recent), self.tree(data[half:], level + 1, recent))
+        recent[level] = [*recent.get(level, [])[-1:], (data, found)]
         return found
 
     def cut(self, text: str) -> bytes:

@@ -47,6 +47,7 @@ GENERATED = 4000
 Span = tuple[int, int, str]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_LABEL = _LOCAL - frozenset("._%+")
 _domain = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++").match
 # A run of digits that doesn't match from its start matches from none of its digits, and a match ends a run: so only starts of runs are tried.
 _ip = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++").finditer
@@ -207,12 +208,12 @@ def _value(rng: random.Random, kind: str) -> str:
     """A value of a kind, as people write it."""
     digits, word, pick = (lambda n: _digits(rng, n)), (lambda a, b: _word(rng, a, b)), (lambda *x: rng.choice(x))
     if kind == "email":
-        user = word(3, 8) + pick("", "." + word(3, 7), digits(2), "_" + word(2, 4))
         opened, closed = pick(("[", "]"), ("(", ")"), ("{", "}"), ("", ""))
         space = " " if not opened else pick("", " ")
         at, dot = f"{space}{opened}at{closed}{space}", f"{space}{opened}dot{closed}{space}"
         at, dot = pick(("@", "."), (at, dot), (at, dot), (at, "."))
-        value = user + at + word(3, 8) + pick("", digits(1), "-" + word(2, 4)) + dot + pick("com", "org", "net", "de", "example" + dot + "com")
+        user = word(3, 8) + pick("", "." + word(3, 7), digits(2), "_" + word(2, 4), dot + word(3, 7))
+        value = user + at + word(3, 8) + pick("", digits(1), "-" + word(2, 4)) + dot + pick("com", "org", "net", "de", "edu", "example" + dot + "com", "co" + dot + "uk", word(2, 3), word(2, 6))
         form = rng.random()
         return value.upper() if form < 0.1 else value.replace("at", "AT").replace("dot", "DOT") if form < 0.2 else value
     if kind == "ip":
@@ -313,7 +314,7 @@ def learned(docs: DataFrame) -> Tagger:
 
 
 @lru_cache(maxsize=4)
-def trained(windows: bytes = b"", hidden: int = HIDDEN, steps: int = 500, batch: int = 64, seed: int = 5) -> Tagger:
+def trained(windows: bytes = b"", hidden: int = HIDDEN, steps: int = 900, batch: int = 64, seed: int = 5) -> Tagger:
     """By Adam on the CRF's log likelihood, over generated windows and those given; equal arguments give the same model."""
     rng = np.random.default_rng(seed)
     tagger = Tagger.fresh(rng, hidden)
@@ -359,21 +360,24 @@ def _stretches(text: str, base: list[Span]) -> list[list[int]]:
     return out
 
 
-def _scores(tagger: Tagger, pieces: list[np.ndarray], batch: int = 1024) -> list[np.ndarray]:
-    """Label scores of each piece's characters, each from the window in which it lies furthest from the edges."""
+def _scores(tagger: Tagger, pieces: list[tuple[np.ndarray, int, int]], batch: int = 1024) -> list[np.ndarray]:
+    """Label scores of the characters [a, b) of each text, each from the window in which it lies furthest from the edges. Windows
+    lie at multiples of half their length of the text, so a character's scores don't depend on where a piece begins."""
     half, quarter = WINDOW // 2, WINDOW // 4
-    jobs = [(i, at) for i, piece in enumerate(pieces) for at in range(0, max(1, len(piece) - half), half)]
-    out = [np.empty((len(p), LABELS), np.float32) for p in pieces]
-    for a in range(0, len(jobs), batch):
-        part = jobs[a : a + batch]
+    jobs = [(i, k * half) for i, (_, a, b) in enumerate(pieces) for k in range(max(0, (a - quarter) // half), max(0, (b - 1 - quarter) // half) + 1)]
+    out = [np.empty((b - a, LABELS), np.float32) for _, a, b in pieces]
+    for at in range(0, len(jobs), batch):
+        part = jobs[at : at + batch]
         chars = np.full((len(part), WINDOW), CHARS - 1)
-        for row, (i, at) in enumerate(part):
-            piece = pieces[i][at : at + WINDOW]
-            chars[row, : len(piece)] = piece
+        for row, (i, start) in enumerate(part):
+            window = pieces[i][0][start : start + WINDOW]
+            chars[row, : len(window)] = window
         scores, _ = tagger.forward(chars)
-        for row, (i, at) in enumerate(part):
-            low, high = (0 if not at else quarter), min(WINDOW, len(pieces[i]) - at)
-            out[i][at + low : at + high] = scores[row, low:high]  # the next window takes its share over
+        for row, (i, start) in enumerate(part):
+            _, a, b = pieces[i]
+            low, high = max(a, start + quarter if start else 0), min(b, start + half + quarter)
+            if low < high:
+                out[i][low - a : high - a] = scores[row, low - start : high - start]
     return out
 
 
@@ -410,27 +414,29 @@ def _runs(labels: np.ndarray, sure: np.ndarray) -> Iterator[tuple[int, int, int,
 
 
 def model_spans(tagger: Tagger, texts: list[str], bases: list[list[Span]], certain: float = CERTAIN) -> list[list[Span]]:
-    """What the tagger adds to each text's base spans."""
+    """What the tagger adds to each text's base spans. Where a path ends inside a span at an end of its stretch, the stretch is
+    widened there and decoded anew, by twice as much each time, up to STRETCH."""
     coded: dict[int, np.ndarray] = {}
-    jobs: list[tuple[int, int, int, int, int]] = []  # text, start, end, and between which places the spans begin that are taken from it
+    jobs: list[tuple[int, int, int, int, int, int, int]] = []  # text, start, end, between which places the spans begin that are taken, and by how much its ends may be widened
     for i, (text, base) in enumerate(zip(texts, bases, strict=True)):
         for a, b in _stretches(text, base):
             coded[i] = codes(text) if i not in coded else coded[i]
             for x in range(a, max(a + 1, b - SEAM), STRETCH - SEAM):
                 y = min(x + STRETCH, b)
-                jobs.append((i, x, y, x if x == a else x + SEAM // 2, y if y == b else y - SEAM // 2))
+                jobs.append((i, x, y, x if x == a else x + SEAM // 2, y if y == b else y - SEAM // 2, WINDOW * (x == a), WINDOW * (y == b)))
     out: list[dict[Span, None]] = [{} for _ in texts]
     taken = {i: _merged(bases[i]) for i in coded}
     while jobs:
-        found, further = _decoded(tagger, _scores(tagger, [coded[i][a:b] for i, a, b, _, _ in jobs])), []
-        for (i, a, b, low, high), (labels, sure) in zip(jobs, found, strict=True):
+        found, further = _decoded(tagger, _scores(tagger, [(coded[i], a, b) for i, a, b, *_ in jobs])), []
+        for (i, a, b, low, high, left, right), (labels, sure) in zip(jobs, found, strict=True):
             text, (starts, ends) = texts[i], taken[i]
-            wide = max(0, a - WINDOW * bool(labels[0])), min(len(text), b + WINDOW * bool(labels[-1]))
-            if wide != (a, b) and b - a < STRETCH:  # a span goes on where nothing was read
-                further.append((i, *wide, *wide))
+            before, after = min(a, left * bool(labels[0])), min(len(text) - b, right * bool(labels[-1]))
+            if before or after:  # a span goes on where nothing was read
+                more = lambda n, used: 2 * n * (2 * n <= STRETCH) if used else n
+                further.append((i, a - before, b + after, low - before, high + after, more(left, before), more(right, after)))
                 continue
             for start, end, kind, p in _runs(labels, sure):
-                start, end = start + a, end + a
+                start, end = _fitted(text, KINDS[kind], start + a, end + a)
                 first = bisect_right(ends, start)  # of the spans of rules that end later
                 apart = first == len(starts) or starts[first] >= end
                 if low <= start < high and apart and p >= certain and _valid(KINDS[kind], text[start:end]):
@@ -451,10 +457,26 @@ def _merged(spans: list[Span]) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
+_address = re.compile(r"(?i)[a-z0-9._%+-]+(?:(?:\s+dot\s+|\s*[\[({]\s*dot\s*[\])}]\s*)[a-z0-9_%+-]+)*(?:@|\s+at\s+|\s*[\[({]\s*at\s*[\])}]\s*)[a-z0-9-]+(?:(?:\.|\s+dot\s+|\s*[\[({]\s*dot\s*[\])}]\s*)[a-z0-9-]+)+").search
+
+
+def _fitted(text: str, kind: str, start: int, end: int) -> tuple[int, int]:
+    """The ends of an address, which the tagger may take to be a word or some letters away: its name begins with the first character
+    that a name can hold, and it ends with the last label behind a dot."""
+    if kind != "email" or not (found := _address(text, start, end)):
+        return start, end
+    start, end = found.span()
+    while start and text[start - 1] in _LOCAL:
+        start -= 1
+    while end < len(text) and text[end] in _LABEL:
+        end += 1
+    return start, end
+
+
 def _valid(kind: str, value: str) -> bool:
     """What makes a value one of its kind: a sign and a dot, as characters or words; a number's digits, and their sum for a card."""
     if kind == "email":
-        return re.search(r"(?i)(@|at).+(\.|dot)", value) is not None
+        return _address(value) is not None
     digits = "".join(c for c in value if "0" <= c <= "9")
     if kind == "ip":
         return 4 <= len(digits) <= 12 and value.count(".") == 3

@@ -7,6 +7,7 @@ import math
 import random
 import re
 import string
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -560,7 +561,9 @@ def test_stretches_are_decoded_whole():
     rng = random.Random(3)
     text = " ".join(pii._value(rng, pii.KINDS[k % 4]) + " some words between" * (k % 3) for k in range(60))
     tagger = pii.trained()
-    scores = pii._scores(tagger, [pii.codes(text)])
+    scores = pii._scores(tagger, [(pii.codes(text), 0, len(text))])
+    part = pii._scores(tagger, [(pii.codes(text), 333, 777)])[0]
+    assert np.allclose(part, scores[0][333:777], atol=1e-5)
     whole = tagger.viterbi(scores[0][None])[0]
     assert (pii._decoded(tagger, [scores[0], scores[0][:40]])[0][0] == whole).all()
     spans = [(a, b) for a, b, k, p in pii._runs(whole, np.ones(len(whole)))]
@@ -573,6 +576,32 @@ def test_stretches_are_decoded_whole():
     assert {*pii.model_spans(tagger, [text], [[]])[0]} <= {*parts[0]}
 
 
+@pytest.mark.parametrize("text", ["1 " * 100_000, "5" * 150_000, "a@" * 70_000, "at x dot " * 20_000])
+def test_stretches_beyond_a_path(text):
+    """Texts of one stretch that is longer than a path, or in which every path ends inside a span: linear in their length."""
+    began = time.perf_counter()
+    assert len(pii.find(pii.trained(), [text])) == 1
+    assert time.perf_counter() - began < 60
+
+
+def test_addresses_as_people_write_them():
+    """Labels that no generator made."""
+    marked = [
+        "Write to <jane dot doe at example dot org> if it fails.", "mail me: <bob.smith [at] uni-bonn [dot] de>, thanks", "contact <info (at) acme (dot) co (dot) uk> or call",
+        "You can reach us under <sales AT firma DOT com> any time", "(<peter_pan{at}neverland{dot}net>)", "his address is <k.lee at lab.edu> and hers is not known",
+        "Ping <admin [at] host.example.com> first. Then wait.", "send it to <maria-jose at correo dot es>\nand to nobody else", "<root at localhost dot localdomain> sends mails at night",
+        "look at the dot com boom of 1999", "we met at noon. Dot was there", "at 10.30 he left", "a dot at the end of the line at page 3.", "good at math dot dot dot",
+    ]
+    found = wanted = wrong = 0
+    for text in marked:
+        plain, spans = text.replace("<", "").replace(">", ""), set()
+        if "<" in text:
+            spans = {(text.index("<"), text.index(">") - 1)}
+        got = {(a, b) for a, b, k, _ in pii.find(pii.trained(), [plain])[0] if k == "email"}
+        found, wanted, wrong = found + len(got & spans), wanted + len(spans), wrong + len(got - spans)
+    assert wanted == 9 and found >= 6 and wrong <= 3
+
+
 def test_personal_data_of_odd_rows(odd, empty):
     assert pii.find_personal_data(odd).count() == len(ODD)
     assert pii.find_personal_data(empty).count() == 0
@@ -612,6 +641,19 @@ def test_bpe_of_odd_rows(odd, empty, reference):
     assert bpe.decode(bpe.encode(empty)).count() == 0
 
 
+@pytest.mark.parametrize("word", ["a" * 9_375, "a" * 100_003, "a" * 1_000_003, "ab" * 30_011 + "a", "abcde" * 20_011, "=" * 65_537, "xyzé漢" * 9_001, "random", "odd"])
+def test_words_of_any_length(word):
+    """The same as the library's, within seconds, and with bounded memory of other words."""
+    path, rng = public_tokenizers.path(bpe.VOCABULARY), random.Random(word[:9])
+    encoder, began = bpe.Encoder(bpe.read_ranks(path)), time.perf_counter()
+    library = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    texts = {"random": ["".join(rng.choices("abcé", k=90_001))], "odd": ["".join(rng.choices(rng.choice(["ab", "aaab", "a", "z_9"]), k=rng.randint(1, 900))) for _ in range(200)]}.get(word, [word])
+    for text in texts:
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, disallowed_special=())
+    assert time.perf_counter() - began < 40
+    assert sum(map(len, encoder.known)) < 1 << 24 and max(map(len, encoder.known)) <= bpe.SHORT
+
+
 # The pipeline.
 
 
