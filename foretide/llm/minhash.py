@@ -40,7 +40,7 @@ STARS = 1
 #: Standard deviations by which a pair's share of equal bins may lie under that of pairs of the least similarity.
 SPARE = 6
 #: Bytes of sets in a block, at most about; a task holds two blocks.
-BLOCK = 1 << 24
+BLOCK = 1 << 23
 #: Tries for an empty bin whose donors are drawn beforehand; with one full bin of 128 one in 10^14 texts needs more.
 TRIES = 4096
 
@@ -237,15 +237,23 @@ def _prefixes(left: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 
 
 def _linked(similarity: int):
-    """Links (a, b) between the labels of a cell's sets (label, held), as many as join what the similarity joins."""
+    """Links (a, b) between the labels of a cell's sets (label, held), as many as join what the similarity joins. An index of the rarest
+    shingles of each set, as in _prefixes(), finds what a set is compared with, of other labels only."""
 
     def run(cell: pd.DataFrame) -> pd.DataFrame:
         labels, sets = cell["label"].to_numpy(np.int64), [np.frombuffer(x, np.uint64) for x in cell["held"]]
         sizes = np.array([len(x) for x in sets])
-        distinct, shingle = np.unique(np.concatenate(sets), return_inverse=True)
-        owner = np.repeat(np.arange(len(sets)), sizes)[np.argsort(shingle, kind="stable")]
-        times = np.bincount(shingle, minlength=len(distinct))
-        first, ends = np.cumsum(times) - times, np.cumsum(sizes)
+        shingle = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+        times = np.bincount(shingle)
+        rare, at = [], 0
+        for n in sizes.tolist():
+            of, at = shingle[at : at + n], at + n
+            rare.append(of[np.lexsort((of, times[of]))[: n - (n * similarity + 99) // 100 + 1]])
+        del shingle
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in rare])
+        indexed = np.concatenate(rare)
+        order = np.argsort(indexed, kind="stable")
+        owner, first = owner[order], np.searchsorted(indexed[order], np.arange(len(times) + 1))
         root = {x: x for x in labels.tolist()}
 
         def top(x: int) -> int:
@@ -255,16 +263,17 @@ def _linked(similarity: int):
 
         values, counts = np.unique(labels, return_counts=True)
         found = []
-        for at in np.flatnonzero(labels != values[counts.argmax()]).tolist():  # of two labels one is not the most frequent
-            of = shingle[ends[at] - sizes[at] : ends[at]]
-            many = times[of]
-            place = np.repeat(first[of] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            common = np.bincount(owner[place], minlength=len(sets))
-            for b in np.unique(labels[(100 * common >= similarity * (sizes + sizes[at] - common)) & (labels != labels[at])]).tolist():
-                x, y = top(int(labels[at])), top(b)
-                if x != y:
-                    root[x] = y
-                    found.append((int(labels[at]), b))
+        for x in np.flatnonzero(labels != values[counts.argmax()]).tolist():  # of two labels one is not the most frequent
+            met = np.unique(np.concatenate([owner[first[t] : first[t + 1]] for t in rare[x].tolist()]))
+            alike = (labels[met] != labels[x]) & (100 * np.minimum(sizes[met], sizes[x]) >= similarity * np.maximum(sizes[met], sizes[x]))
+            for y in met[alike].tolist():
+                a, b = top(int(labels[x])), top(int(labels[y]))
+                if a == b:
+                    continue
+                common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if 100 * common >= similarity * (sizes[x] + sizes[y] - common):
+                    root[a] = b
+                    found.append((int(labels[x]), int(labels[y])))
         return pd.DataFrame(found, columns=["a", "b"])
 
     return run
