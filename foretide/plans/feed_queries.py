@@ -13,6 +13,7 @@ from foretide.plans.views import table
 from foretide.sources import access, parsers
 from foretide.streaming import pipelines
 from foretide.streaming.scratch import shared_folder
+from foretide.streaming.stateful import state_by_key
 
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +169,14 @@ def stream_exactly_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_change_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _drained(spark, pipelines.changes(_stream(spark, sf_dir).filter("value IS NOT NULL")), "append").select("user_id", "event_id", "fingerprint", "version")
+    with state_by_key(spark):
+        return _drained(spark, pipelines.changes(_stream(spark, sf_dir).filter("value IS NOT NULL")), "append").select("user_id", "event_id", "fingerprint", "version")
+
+
+def stream_pushes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is pushed of each user's events: changes alone, for nothing is quiet long enough for a sign of life."""
+    with state_by_key(spark):
+        return _drained(spark, pipelines.pushed(_stream(spark, sf_dir)), "append").select("user_id", "event_id", "content", "kind", "beat")
 
 
 def stream_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +187,7 @@ def stream_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NAME = "(upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) || ' ' || (c_custkey % 40) || [' FC', ' Women', ' U19', '-United', ' Academy', ' Club'][c_custkey % 6 + 1])"
 QUERIES = {f.__name__: f for f in (
     normalized_names, split_labels, scalar_texts, parsed_instants, safe_casts, url_access, identity_scores, identity_resolve, identity_exact, entity_proposals, prefix_names, json_properties, datapoints_long,
-    unknown_coverage, request_list, price_band_versions, stream_daily_event_counts, stream_exactly_once, stream_change_versions, stream_joined,
+    unknown_coverage, request_list, price_band_versions, stream_daily_event_counts, stream_exactly_once, stream_change_versions, stream_pushes, stream_joined,
 )}
 ORACLES = {
     "normalized_names": f"WITH n AS (SELECT c_custkey AS team_id, lower({_NAME}) AS l FROM customer), m AS (SELECT team_id, replace(l, '-', ' ') AS normal, replace(replace(l, ' ', ''), '-', '') AS compact FROM n) SELECT team_id, normal, compact, regexp_replace(regexp_replace(normal, ' fc$', ''), ' club$', '') AS base, CASE WHEN normal LIKE '% women' THEN 'women' WHEN normal LIKE '% u19' THEN 'u19' WHEN normal LIKE '% academy' THEN 'youth' ELSE 'open' END AS category FROM m",
@@ -202,5 +210,6 @@ SELECT page_id, CASE reason WHEN '' THEN 'ALLOW' WHEN 'UNKNOWN_SOURCE' THEN 'UNK
     "stream_daily_event_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "stream_exactly_once": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
     "stream_change_versions": "WITH e AS (SELECT *, event_type || '|' || CAST(floor(value / 50) AS BIGINT) AS fingerprint FROM events WHERE value IS NOT NULL), f AS (SELECT user_id, event_id, ts, fingerprint FROM e QUALIFY row_number() OVER (PARTITION BY user_id, fingerprint ORDER BY ts, event_id) = 1) SELECT user_id, event_id, fingerprint, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS version FROM f",
+    "stream_pushes": "WITH e AS (SELECT *, concat_ws('|', event_type, CAST(CAST(floor(value / 50) AS BIGINT) AS VARCHAR)) AS content FROM events), p AS (SELECT *, lag(content) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM e) SELECT user_id, event_id, content, 'change' AS kind, 0 AS beat FROM p WHERE content IS DISTINCT FROM before",
     "stream_joined": "SELECT a.user_id AS key, a.event_id AS left_id, b.event_id AS right_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 6 HOUR WHERE a.event_type = 'view' AND b.event_type = 'purchase'",
 }

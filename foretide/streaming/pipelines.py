@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from foretide.streaming.stateful import DAY_MS, first_of_content, pushes
+
 
 def source(spark: SparkSession, table: str, schema, files_per_batch: int | None = None) -> DataFrame:
     """The files of a table as a stream (T-01), be it a folder of files or one file. All files that are there make one batch
@@ -45,33 +47,16 @@ def on_time(events: DataFrame, start: str = "kickoff") -> DataFrame:
     return events.filter(F.col("ts") < F.col(start))
 
 
-_CHANGES = "user_id long, event_id long, ts timestamp, fingerprint string, version long"
-
-
-def changes(events: DataFrame, late: str = "2 days") -> DataFrame:
-    """Events that change a key's content to one it has not had, with their version (T-02, T-04, T-06, T-08).
-
-    State of a key: the fingerprints it has had and its version. Within a trigger events are taken by their time. State that
-    sees nothing for as long as the watermark allows is dropped.
-    """
+def changes(events: DataFrame, remember: int = 90 * DAY_MS) -> DataFrame:
+    """Events that change a key's content to one it has not had, with their version (T-02, T-04, T-08): see first_of_content()."""
+    rows = timed(events).withColumn("fingerprint", F.concat_ws("|", "event_type", F.floor(F.col("value") / 50).cast("string")))
+    return first_of_content(rows, "user_id", "fingerprint", ["ts", "event_id"], remember).select("user_id", "event_id", "ts", "fingerprint", "version")
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        seen, version = state.get if state.exists else ([], 0)
-        known, out = set(seen), []
-        for row in pd.concat(list(frames)).sort_values(["ts", "event_id"]).itertuples():
-            if row.fingerprint not in known:
-                known.add(row.fingerprint)
-                version += 1
-                out.append((key[0], row.event_id, row.ts, row.fingerprint, version))
-        state.update((sorted(known), version))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + 90 * 86_400_000)
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "ts", "fingerprint", "version"])
 
-    rows = timed(events).withWatermark("ts", late).withColumn("fingerprint", F.concat_ws("|", "event_type", F.floor(F.col("value") / 50).cast("string")))
-    return rows.select("user_id", "event_id", "ts", "fingerprint").groupBy("user_id").applyInPandasWithState(run, _CHANGES, "seen array<string>, version long", "append", GroupStateTimeout.EventTimeTimeout)
+def pushed(events: DataFrame, quiet: int = 100_000, most: int = 1 << 30) -> DataFrame:
+    """Events whose content is not that of the one before of their key, and signs of life of quiet keys (T-03): see pushes()."""
+    rows = timed(events).withColumn("content", F.concat_ws("|", "event_type", F.floor(F.col("value") / 50).cast("string")))
+    return pushes(rows, "user_id", "content", ["ts", "event_id"], quiet, most)
 
 
 _MARKS = "match_id long, version long, marked_at timestamp"
@@ -119,7 +104,7 @@ def joined_within(left: DataFrame, right: DataFrame, key: str, within: str = "1
 
 
 def run_available(stream: DataFrame, to: str, checkpoint: str, mode: str = "append") -> None:
-    """All that is there, as a table (T-13, T-14): each batch is one commit, and its id makes a repeated one harmless."""
+    """All that is there, as a table (T-14): each batch is one commit, and its id makes a repeated one harmless."""
     stream.writeStream.format("parquet").outputMode(mode).option("path", to).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
