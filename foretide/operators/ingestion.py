@@ -1,10 +1,9 @@
-"""Ingestion: budgets, breakers, fallbacks, alerts."""
+"""Ingestion: budgets, fallbacks, alerts."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,28 +35,6 @@ def cycle_cap(jobs: DataFrame, cycle: str, order: list[str], cost: str, cap: int
     return out.withColumn("state", F.when(F.col("before") < cap, "RUN").otherwise("CYCLE_CAP"))
 
 
-def circuit_breaker(calls: DataFrame, failures: int = 5, rest_seconds: int = 1800) -> DataFrame:
-    """Whether each call of a source was let through (T-11): after `failures` in a row the source rests, then one call tries.
-
-    What happens depends on what was let through before, so it is a fold: each source's calls of one day are one group, which
-    bounds it; the breaker is closed at the start of a day. Columns: source, day, at_seconds, call_id, ok.
-    """
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["at_seconds", "call_id"])
-        states, failed, since = [], 0, None
-        for at, ok in zip(group["at_seconds"], group["ok"], strict=True):
-            if since is not None and at - since < rest_seconds:
-                states.append("REFUSED")
-                continue
-            states.append("CLOSED" if since is None else "HALF_OPEN")
-            failed = 0 if ok else failed + 1
-            since = at if failed >= failures else None
-        return group.assign(state=states)[["source", "day", "call_id", "state"]]
-
-    return calls.groupBy("source", "day").applyInPandas(run, "source string, day date, call_id long, state string")
-
-
 def first_working(results: DataFrame, chain: DataFrame, *key: str) -> DataFrame:
     """The best-ranked source that worked for each key, and how many before it had not (T-15)."""
     ranked = results.join(chain, "source")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foretide.operators import form, ingestion, pit, rating
+from foretide.operators import breaker, form, ingestion, pit, rating
 from foretide.plans.views import FIXTURES_SQL, OBSERVATIONS_SQL, OBSERVED_AT, fixtures, observations, table
 
 #: Seconds after which the events' types go stale here; one never does, and one is not known.
@@ -165,8 +165,9 @@ def cycle_cap_running_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = table(spark, sf_dir, "events").select(F.concat(F.lit("s"), (F.col("user_id") % 10).cast("string")).alias("source"), F.col("ts").cast("date").alias("day"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at_seconds"), F.col("event_id").alias("call_id"), (F.col("event_type") == "view").alias("ok"))
-    return ingestion.circuit_breaker(calls).withColumn("day", F.col("day").cast("string"))
+    """All calls of ten sources, over the ends of days."""
+    calls = table(spark, sf_dir, "events").select(F.concat(F.lit("s"), (F.col("user_id") % 10).cast("string")).alias("source"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at_seconds"), F.col("event_id").alias("call_id"), (F.col("event_type") == "view").alias("ok"))
+    return breaker.circuit_breaker(calls)
 
 
 def cycle_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,17 +261,17 @@ SELECT match_id, round(reliability, 6) AS reliability, round(freshness, 6) AS fr
     "rate_limit_windows": "WITH r AS (SELECT 's' || (event_id % 3) AS source, ts, ts - lag(ts) OVER (PARTITION BY event_id % 3 ORDER BY ts, event_id) < INTERVAL 60 SECOND AS soon FROM events), g AS (SELECT source, CAST(floor(floor(epoch(ts)) / 3600) * 3600 AS BIGINT) AS window_start, count(*) AS n, count(*) FILTER (WHERE soon) AS too_soon FROM r GROUP BY 1, 2) SELECT *, greatest(n - 2, 0) AS over_budget FROM g",
     "cycle_cap_running_sum": "SELECT event_id, CAST(coalesce(sum(event_id % 4) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before, CASE WHEN before < 20 THEN 'RUN' ELSE 'CYCLE_CAP' END AS state FROM events",
     "circuit_breaker": """WITH RECURSIVE c AS (
-  SELECT 's' || (user_id % 10) AS source, CAST(ts AS DATE) AS day, CAST(floor(epoch(ts)) AS BIGINT) AS t, event_id AS call_id, event_type = 'view' AS ok,
-         row_number() OVER (PARTITION BY user_id % 10, CAST(ts AS DATE) ORDER BY CAST(floor(epoch(ts)) AS BIGINT), event_id) AS rn FROM events
+  SELECT 's' || (user_id % 10) AS source, CAST(floor(epoch(ts)) AS BIGINT) AS t, event_id AS call_id, event_type = 'view' AS ok,
+         row_number() OVER (PARTITION BY user_id % 10 ORDER BY CAST(floor(epoch(ts)) AS BIGINT), event_id) AS rn FROM events
 ), f AS (
-  SELECT source, day, call_id, rn, CASE WHEN ok THEN 0 ELSE 1 END AS failed, CAST(NULL AS BIGINT) AS since, 'CLOSED' AS state FROM c WHERE rn = 1
+  SELECT source, call_id, rn, CASE WHEN ok THEN 0 ELSE 1 END AS failed, CAST(NULL AS BIGINT) AS since, 'CLOSED' AS state FROM c WHERE rn = 1
   UNION ALL
-  SELECT c.source, c.day, c.call_id, c.rn,
+  SELECT c.source, c.call_id, c.rn,
          CASE WHEN f.since IS NOT NULL AND t - f.since < 1800 THEN f.failed WHEN ok THEN 0 ELSE f.failed + 1 END,
          CASE WHEN f.since IS NOT NULL AND t - f.since < 1800 THEN f.since WHEN NOT ok AND f.failed + 1 >= 5 THEN t END,
          CASE WHEN f.since IS NULL THEN 'CLOSED' WHEN t - f.since < 1800 THEN 'REFUSED' ELSE 'HALF_OPEN' END
-  FROM f JOIN c ON c.source = f.source AND c.day = f.day AND c.rn = f.rn + 1
-) SELECT source, CAST(day AS VARCHAR) AS day, call_id, state FROM f""",
+  FROM f JOIN c ON c.source = f.source AND c.rn = f.rn + 1
+) SELECT source, call_id, state FROM f""",
     "cycle_statistics": "WITH c AS (SELECT o_orderpriority, CAST(sum(o_orderkey % 5) AS BIGINT) AS matches, CAST(sum(o_custkey % 31) AS BIGINT) AS requests, round(sum(o_custkey % 31) / CAST(sum(o_orderkey % 5) AS DOUBLE), 2) AS per_match, round(100 * count(*) FILTER (WHERE o_orderstatus = 'P') / CAST(count(*) AS DOUBLE), 1) AS failure_pct FROM orders GROUP BY 1) SELECT *, concat_ws(',', CASE WHEN per_match > 20 THEN 'ERROR_REQUESTS' WHEN per_match > 8 THEN 'WARN_REQUESTS' END, CASE WHEN failure_pct > 50 THEN 'FAILURES' END, 'IDENTITY_UNKNOWN') AS alerts FROM c",
     "scheduler_due": "WITH r AS (SELECT user_id AS tier, CAST(floor(epoch(ts)) AS BIGINT) - lag(CAST(floor(epoch(ts)) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events) SELECT tier, count(*) FILTER (WHERE gap IS NULL OR gap >= 14400) AS due, count(*) AS n FROM r GROUP BY tier",
     "upcoming_in_horizon": "SELECT o_orderkey FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '2001-07-20' AND TIMESTAMP '2001-07-22' AND o_orderstatus = 'O' ORDER BY o_orderdate, o_orderkey LIMIT 5",

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from foretide.functions import numbers, text, time
-from foretide.operators import form, identity, ingestion, ledger, pit
+from foretide.operators import breaker, form, identity, ingestion, ledger, pit
 from foretide.plans import feed_queries
 from foretide.sources import access, parsers, sinks
 
@@ -172,8 +172,8 @@ def test_identity_takes_all_orders(spark, sf):
 
 
 def test_breaker_and_caps(spark):
-    calls = spark.createDataFrame([("s", i, i * 10, False) for i in range(7)] + [("s", 7, 3000, True), ("s", 8, 3010, False)], "source string, call_id long, at_seconds long, ok boolean").withColumn("day", F.lit("2026-01-01").cast("date"))
-    states = [r.state for r in ingestion.circuit_breaker(calls).orderBy("call_id").collect()]
+    calls = spark.createDataFrame([("s", i, i * 10, False) for i in range(7)] + [("s", 7, 3000, True), ("s", 8, 3010, False)], "source string, call_id long, at_seconds long, ok boolean")
+    states = [r.state for r in breaker.circuit_breaker(calls).orderBy("call_id").collect()]
     assert states == ["CLOSED"] * 5 + ["REFUSED"] * 2 + ["HALF_OPEN", "CLOSED"]
 
 
