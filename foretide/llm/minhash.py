@@ -5,10 +5,10 @@ value of another one, drawn by a hash of its own number and the try until a bin
 with a chance of the similarity for small sets as well. ROWS bins are a band, a band's values the key of a bucket, and a pair
 with a similarity of 0.8 shares none of 32 buckets with a chance of 5e-8.
 
-A bucket never emits pairs of its members but a star: all are compared with one centre, that whose buckets are the fullest.
-Links that full sets confirm make components, and within one nothing is left to compare; so the centre goes and the next star
-of a bucket has an end in another component than its centre, taken from the component with the fewest members there. After
-STARS such rounds what remains are buckets in which sets meet that are less alike, such as those of a frequent passage. Their
+A bucket never emits pairs of its members but a star: all are compared with one centre, the least by hash, so that the same
+few centres come up in many buckets. Links that full sets confirm make components, and within one nothing is left to compare.
+What remains are buckets that still hold several components beside their centre: sets that are less alike, such as
+those of a frequent passage, or like another one but not the centre. Their
 documents meet again by prefixes: two sets of the given similarity share one of their rarest shingles, a fifth of each. What
 shares such shingles across components makes groups, and their sets are compared in blocks of bounded size by an index of
 shingles in each task, which emits no more links than it has members. So no link is lost at frequent keys.
@@ -35,8 +35,6 @@ SIMILARITY = 80
 BINS = 128
 ROWS = 4
 SEED = 42
-#: Rounds of stars in the buckets of the bands.
-STARS = 1
 #: Standard deviations by which a pair's share of equal bins may lie under that of pairs of the least similarity.
 SPARE = 6
 #: Bytes of sets in a block, at most about; a task holds two blocks.
@@ -156,14 +154,14 @@ def _suffixed(df: DataFrame, end: str, *columns: str) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: int, bins: int) -> DataFrame:
-    """a, b of those pairs (a, b, la, lb) whose sets have the given similarity; la and lb stay. Sizes and bins rule out most others first."""
+    """Those of the pairs (a, b) whose sets have the given similarity. Sizes and bins rule out most others first."""
     share = similarity / 100
     least = max(0, int(bins * share - SPARE * np.sqrt(bins * share * (1 - share))))
     near = pairs.join(_suffixed(nodes, "a", "n", "short"), "a").join(_suffixed(nodes, "b", "n", "short"), "b")
     near = near.filter(100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).filter(_equal_bins("short_a", "short_b") >= least)
-    near = checkpointed(near.select("a", "b", "la", "lb", "n_a", "n_b"))
+    near = checkpointed(near.select("a", "b", "n_a", "n_b"))
     both = near.join(_suffixed(sets, "a", "held"), "a").join(_suffixed(sets, "b", "held"), "b").withColumn("common", _common("held_a", "held_b"))
-    return both.filter(100 * F.col("common") >= similarity * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b", "la", "lb")
+    return both.filter(100 * F.col("common") >= similarity * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
 
 
 def _apart(members: DataFrame) -> DataFrame:
@@ -172,20 +170,6 @@ def _apart(members: DataFrame) -> DataFrame:
     return members.join(keys, "key", "left_semi")
 
 
-def _centres(members: DataFrame) -> DataFrame:
-    """key, centre, of (its label): from the label with the fewest members in the bucket, the one whose buckets are the fullest."""
-    best = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("here"), F.max(F.struct("weight", "node")).alias("best"))
-    first = best.groupBy("key").agg(F.max(F.struct(-F.col("here"), F.col("best.weight"), F.col("best.node").alias("node"), "label")).alias("first"))
-    return first.select("key", F.col("first.node").alias("centre"), F.col("first.label").alias("of"))
-
-
-def _weighed(members: DataFrame) -> DataFrame:
-    """(key, node) with weight: the members of all the node's buckets. Buckets of one member go."""
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    shared = checkpointed(members.join(sizes, "key"))
-    return shared.drop("size").join(shared.groupBy("node").agg(F.sum("size").alias("weight")), "node")
-
-
 class _Labels:
     """node, label for all nodes that have links so far; a node without is its own label."""
 
@@ -200,6 +184,8 @@ class _Labels:
 
     def add(self, links: DataFrame) -> None:
         """links (a, b) between labels."""
+        if links.isEmpty():
+            return
         joined = components(links)
         if self.table is not None:
             further = joined.select(F.col("node").alias("label"), F.col("label").alias("next"))
@@ -208,27 +194,15 @@ class _Labels:
         self.table = joined
 
 
-def _stars(members: DataFrame, labels: _Labels, nodes: DataFrame, sets: DataFrame, similarity: int, bins: int, rounds: int) -> DataFrame:
-    """Links members of buckets (key, node, weight), round by round; gives those of buckets in which something is left to compare."""
-    members = checkpointed(_apart(labels.of(members)))
-    for _ in range(rounds):
-        if members.isEmpty():
-            break
-        chosen = checkpointed(_centres(members))
-        met = members.join(chosen, "key").filter("label <> of")
-        ends = lambda f, x, y: f(F.struct("node", "label"), F.struct(F.col("centre").alias("node"), F.col("of").alias("label")))[x].alias(y)
-        pairs = met.select(ends(F.least, "node", "a"), ends(F.greatest, "node", "b"), ends(F.least, "label", "la"), ends(F.greatest, "label", "lb")).distinct()
-        links = checkpointed(confirmed(checkpointed(pairs), nodes, sets, similarity, bins).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
-        if not links.isEmpty():
-            labels.add(links)
-        left = members.join(chosen.select("key", F.col("centre").alias("node")), ["key", "node"], "left_anti").select("key", "node", "weight")
-        members = checkpointed(_apart(labels.of(left)))
-    return members
+def _stars(members: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: int, bins: int) -> DataFrame:
+    """Links (a, b) of members of buckets (key, node, centre) with their centres."""
+    pairs = members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    return confirmed(checkpointed(pairs), nodes, sets, similarity, bins)
 
 
 def _prefixes(left: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """key, node: of each node its rarest shingles, as many as cannot all be missing from a set of the given similarity."""
-    asked = sets.join(left.select("node").distinct(), "node", "left_semi").select("node", "held")
+    asked = sets.join(left, "node", "left_semi").select("node", "held")
     shingles = checkpointed(asked.mapInArrow(_shingles, "node long, n long, key long"))
     rare = shingles.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
     order = Window.partitionBy("node").orderBy("times", "key")
@@ -292,7 +266,7 @@ def _in_blocks(buckets: DataFrame, labels: _Labels, held: DataFrame, sets: DataF
     return cells.groupBy("of", "i", "j").applyInPandas(_linked(similarity), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY, bins: int = BINS, rows: int = ROWS, stars: int = STARS, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY, bins: int = BINS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text; other columns are ignored).
 
     Texts whose sets of distinct shingles have a Jaccard similarity of `similarity` hundredths or more are linked, and component_id is
@@ -308,18 +282,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     marked = materialised(texts.mapInArrow(_marked(shingle, bins, rows), "row long, doc_id long, node long, n long, bands array<long>, short binary"))
     worded = marked.filter("node IS NOT NULL")
     nodes = worded.select("node", "n", "bands", "short").dropDuplicates(["node"])
-    members = checkpointed(_weighed(nodes.select("node", F.explode("bands").alias("key"))))
+    keys = nodes.select("node", F.explode("bands").alias("key"))
+    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("centre")).filter("size > 1").select("key", "centre")
+    members = checkpointed(keys.join(buckets, "key"))
     asked = members.select("node").distinct()
     held = checkpointed(nodes.select("node", "n", "short").join(asked, "node", "left_semi"))
     one = worded.join(asked, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))  # of equal sets one is read again
     sets = texts.select("row", "text").join(one, "row").select("node", "text").mapInArrow(_sets(shingle), "node long, held binary")
     sets = materialised(sets.dropDuplicates(["node"]))
     labels = _Labels()
-    left = _stars(members, labels, held, sets, similarity, bins, stars)
+    labels.add(checkpointed(_stars(members, held, sets, similarity, bins)))
+    left = checkpointed(_apart(labels.of(members.filter("node <> centre").select("key", "node"))).select("node").distinct())
     if not left.isEmpty():
-        links = checkpointed(_in_blocks(_prefixes(left, sets, similarity), labels, held, sets, similarity, block).distinct())
-        if not links.isEmpty():
-            labels.add(links)
+        labels.add(checkpointed(_in_blocks(_prefixes(left, sets, similarity), labels, held, sets, similarity, block)))
     label: Column = F.col("node")
     if labels.table is not None:
         marked = marked.join(labels.table, "node", "left")
