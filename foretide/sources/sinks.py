@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foretide.operators.ledger import latest
 
@@ -36,3 +37,17 @@ def backup(spark: SparkSession, path: str, to: str) -> int:
     rows = spark.read.parquet(path)
     rows.write.mode("overwrite").parquet(to)
     return spark.read.parquet(to).count()
+
+
+def feed(rows: DataFrame, by: list[str], order: list[str], path: str) -> None:
+    """One JSON document for each value of `by`, its rows in order, compressed; null fields are written as such."""
+    inner = [c for c in rows.columns if c not in by]
+    held = F.array_sort(F.collect_list(F.struct(*order, *[c for c in inner if c not in order])))
+    documents = rows.groupBy(*by).agg(held.alias("rows"))
+    documents.select(F.to_json(F.struct(*by, "rows"), {"ignoreNullFields": "false"}).alias("value")).write.option("compression", "gzip").text(path)
+
+
+def read_feed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The documents of a feed, those that can't be read left out."""
+    rows = spark.read.text(path).select(F.from_json("value", schema).alias("d"))
+    return rows.filter(F.col("d").isNotNull()).select("d.*")
