@@ -45,3 +45,11 @@ def date_chunks(start: str, end: str, n: int) -> Column:
 def minute_bucket(at: Column) -> Column:
     """D09."""
     return F.date_trunc("minute", at)
+
+
+def tolerant_seconds(text: Column) -> Column:
+    """Seconds since 1970 of what a feed gives as an instant (Z20): its first 19 characters as UTC, with or without seconds; what follows them,
+    an offset too, says nothing. Null if it is none."""
+    cut = F.substring(F.regexp_replace(F.trim(text), "[Zz]+$", ""), 1, 19)
+    whole = F.when(cut.rlike(r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}$"), F.concat(cut, F.lit(":00"))).when(cut.rlike(r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}$"), cut)
+    return F.unix_seconds(F.try_to_timestamp(F.concat(whole, F.lit("Z")), F.lit("yyyy-M-d'T'H:m:sX")))

@@ -108,9 +108,10 @@ def prefix_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bodies that can be read, and their keys in long form."""
+    """The keys of bodies in long form, and how many bodies can't be read."""
     rows = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 50 == 0, F.lit("{broken")).otherwise(F.col("props")).alias("body"))
-    return rows.groupBy(parsers.readable(F.col("body")).alias("readable")).agg(F.count(F.lit(1)).alias("n"))
+    keys = parsers.properties(rows).groupBy("readable", F.coalesce("key", F.lit("")).alias("key"))
+    return keys.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("number"), F.lit(0.0)).alias("total"), F.countDistinct("value").alias("values"))
 
 
 def datapoints_long(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,7 +203,9 @@ SELECT page_id, CASE reason WHEN '' THEN 'ALLOW' WHEN 'UNKNOWN_SOURCE' THEN 'UNK
     "identity_exact": "WITH p AS (SELECT CASE o_orderkey % 10 WHEN 0 THEN 0.64e0 WHEN 1 THEN 0.755e0 ELSE 0.8e0 END AS c FROM orders WHERE o_orderkey % 9 <> 0 AND o_orderkey % 10 <> 2) SELECT CASE WHEN c >= 0.8e0 THEN 'MATCH_JOURNALIZED' ELSE 'UNKNOWN' END AS status, count(*) AS n, round(avg(c), 4) AS confidence FROM p GROUP BY 1",
     "entity_proposals": "WITH r AS (SELECT 's' || (l_orderkey % 3) AS source, l_partkey % 500 AS external_id, l_partkey % 500 + CASE WHEN l_orderkey % 1000 = 0 THEN 1 ELSE 0 END AS entity_id, round(0.7e0 + l_discount * 3, 4) AS confidence FROM lineitem), g AS (SELECT source, external_id, count(DISTINCT entity_id) AS entities, min(entity_id) AS entity_id, round(max(confidence), 4) AS confidence FROM r WHERE confidence >= 0.80e0 GROUP BY 1, 2) SELECT *, CASE WHEN entities > 1 THEN 'REFUSED' WHEN confidence >= 0.95e0 THEN 'MATCH_AUTO' ELSE 'MATCH_JOURNALIZED' END AS status FROM g",
     "prefix_names": "WITH k AS (SELECT DISTINCT lower(p_type) AS known_name FROM part), s AS (SELECT DISTINCT lower(substr(p_type, 1, 9)) AS name FROM part), m AS (SELECT name, max(known_name) FILTER (WHERE name = known_name) AS eq, count(DISTINCT known_name) AS n, min(known_name) AS one FROM s JOIN k ON starts_with(known_name, name) OR starts_with(name, known_name) GROUP BY name) SELECT name, coalesce(eq, one) AS known_name FROM m WHERE eq IS NOT NULL OR n = 1",
-    "json_properties": "SELECT event_id % 50 <> 0 AS readable, count(*) AS n FROM events GROUP BY 1",
+    "json_properties": """WITH b AS (SELECT event_id, props, event_id % 50 <> 0 AND props IS NOT NULL AND json_valid(props) AS readable FROM events), k AS (SELECT readable, unnest(json_keys(props)) AS key, props FROM b WHERE readable),
+v AS (SELECT readable, key, json_extract_string(props, '$."' || key || '"') AS value FROM k UNION ALL SELECT false, '', NULL FROM b WHERE NOT readable)
+SELECT readable, key, count(*) AS n, coalesce(sum(TRY_CAST(value AS DOUBLE)), 0) AS total, count(DISTINCT value) AS "values" FROM v GROUP BY 1, 2""",
     "datapoints_long": "SELECT data_type, value, 'feed' AS source, '2001-08-02' AS retrieved_at, count(*) AS n FROM (SELECT 'status' AS data_type, o_orderstatus AS value FROM orders UNION ALL SELECT 'note', o_orderpriority FROM orders WHERE o_orderkey % 4 = 0) GROUP BY 1, 2",
     "unknown_coverage": "WITH m AS (SELECT DISTINCT user_id AS match_id FROM events) SELECT match_id, 'lineups' AS data_type FROM m UNION ALL SELECT match_id, 'error' FROM m WHERE match_id % 2 = 1 OR match_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error')",
     "request_list": "SELECT c_custkey AS match_id, 'a' AS source, 'https://a.example/' || c_nationkey || '/' || c_custkey AS url FROM customer UNION ALL SELECT c_custkey, 'b', 'https://b.example/m?id=' || c_custkey FROM customer",

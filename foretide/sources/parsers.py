@@ -133,6 +133,40 @@ def entities(bodies: DataFrame, column: str = "body") -> DataFrame:
     return s.select(*[c for c in bodies.columns if c != column], "position", F.col("s.id").alias("entity_id"), F.col("s.label").alias("label"), F.array_join(F.coalesce("s.aliases", F.array().cast("array<string>")), "|").alias("aliases"))
 
 
+LINEUPS = "STRUCT<rosters:ARRAY<STRUCT<team:STRUCT<id:STRING>,roster:ARRAY<STRUCT<starter:BOOLEAN,jersey:STRING,athlete:STRUCT<displayName:STRING>>>>>>"
+CLAIMS = "STRUCT<claims:MAP<STRING,ARRAY<STRUCT<mainsnak:STRUCT<datavalue:STRUCT<value:STRING>>>>>>"
+
+
+def lineups(bodies: DataFrame, column: str = "body", starters: int = 11, others: int = 12) -> DataFrame:
+    """Names of the first eleven and twelve others of each team, in the order given."""
+    r = bodies.select(*[c for c in bodies.columns if c != column], F.explode(F.from_json(column, LINEUPS)["rosters"]).alias("r"))
+    names = lambda which, n: F.slice(F.transform(F.filter("r.roster", which), lambda p: p["athlete"]["displayName"]), 1, n)
+    first, rest = (lambda p: F.coalesce(p["starter"], F.lit(False))), (lambda p: ~F.coalesce(p["starter"], F.lit(False)))
+    return r.select(*[c for c in bodies.columns if c != column], F.col("r.team.id").alias("team_id"), names(first, starters).alias("starters"), names(rest, others).alias("substitutes"))
+
+
+def first_claims(bodies: DataFrame, properties: list[str], column: str = "body") -> DataFrame:
+    """A column for each property with the first of its claims that has a value (Z20): an id, else an amount, else a plain value."""
+    c = bodies.select(*[c for c in bodies.columns if c != column], F.from_json(column, CLAIMS)["claims"].alias("claims"))
+
+    def value(claim: Column) -> Column:
+        raw = claim["mainsnak"]["datavalue"]["value"]
+        of = lambda key: F.get_json_object(raw, f"$.{key}")
+        return F.when(raw.startswith("{"), F.coalesce(of("id"), of("amount"))).otherwise(raw)
+
+    first = lambda p: F.get(F.filter(F.transform(F.coalesce(F.try_element_at("claims", F.lit(p)), F.array()), value), lambda v: v.isNotNull()), F.lit(0))
+    return c.select(*[x for x in bodies.columns if x != column], *[first(p).alias(p) for p in properties])
+
+
+def properties(bodies: DataFrame, column: str = "body") -> DataFrame:
+    """The keys of objects in long form (H03): key, value as text, and number where it is one; bodies that can't be read have a row
+    without a key."""
+    held = F.from_json(column, "MAP<STRING,STRING>")
+    rows = bodies.withColumn("readable", F.coalesce(readable(F.col(column)), F.lit(False)))
+    out = rows.select(*[c for c in bodies.columns if c != column], "readable", F.explode_outer(F.when(F.col("readable"), held)).alias("key", "value"))
+    return out.filter("key IS NOT NULL OR NOT readable").withColumn("number", F.col("value").try_cast("double"))
+
+
 #: Bookmakers by the letters of their columns.
 BOOKMAKERS = {"B365": "bet365", "BW": "bwin", "IW": "interwetten", "PS": "pinnacle", "WH": "william hill", "VC": "victor chandler", "Max": "best", "Avg": "average"}
 

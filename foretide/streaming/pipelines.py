@@ -103,6 +103,23 @@ def joined_within(left: DataFrame, right: DataFrame, key: str, within: str = "1
     return a.join(b, F.expr(f"key = right_key AND right_ts >= left_ts AND right_ts <= left_ts + INTERVAL {within}")).select("key", "left_id", "right_id", "left_ts", "right_ts")
 
 
+def with_details(fixtures: DataFrame, details: DataFrame, within: str = "6 hours", late: str = "1 day") -> DataFrame:
+    """match_id, kickoff, detail_at, detail_id: each fixture with all details of its key that come from its start on until `within` later,
+    or one row without, told when the watermark says that none can come any more (T-16, T-18). Details and fixtures may come in any
+    order within `late`. Columns key, match_id, ts; key, detail_id, ts. current_details() tells what holds of a match."""
+    a = timed(fixtures).withWatermark("ts", late).select("key", "match_id", F.col("ts").alias("kickoff"))
+    b = timed(details).withWatermark("ts", late).select(F.col("key").alias("of"), "detail_id", F.col("ts").alias("detail_at"))
+    met = a.join(b, F.expr(f"key = of AND detail_at >= kickoff AND detail_at <= kickoff + INTERVAL {within}"), "leftOuter")
+    return met.select("match_id", "kickoff", "detail_at", "detail_id")
+
+
+def current_details(told: DataFrame) -> DataFrame:
+    """Of each match the last detail told (T-18): a later one corrects those before it, in whatever order they were told, and the
+    number of what it replaces is its version; a match of version 0 has none."""
+    last = F.max(F.when(F.col("detail_id").isNotNull(), F.struct("detail_at", "detail_id"))).alias("last")
+    return told.groupBy("match_id").agg(last, F.count_distinct("detail_id").alias("version")).select("match_id", F.col("last.detail_id").alias("detail_id"), "version")
+
+
 def run_available(stream: DataFrame, to: str, checkpoint: str, mode: str = "append") -> None:
     """All that is there, as a table (T-14): each batch is one commit, and its id makes a repeated one harmless."""
     stream.writeStream.format("parquet").outputMode(mode).option("path", to).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
