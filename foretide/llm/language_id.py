@@ -8,10 +8,10 @@ encodings are smallest in all wins. Where the margin is narrow although there is
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,12 +32,13 @@ MARGIN = 0.002
 EVIDENCE = 400
 UNKNOWN = "und"
 
-_letter = re.compile(r"[^\W\d_]").search
+_letter = regex.compile(r"\p{L}").search
 
 
 def learn(labelled: DataFrame, sample: int = SAMPLE, piece: int = PIECE, size: int = DICTIONARY) -> list[tuple[str, bytes]]:
     """(language, dictionary) of each language, those with most documents first, from the rows of labelled (text, lang) that
-    have a text and a language. Equal texts count once. The driver gets LANGUAGES x `sample` pieces at most."""
+    have a text and a language. Equal texts count once. Pieces are drawn from `sample` texts at most, and a dictionary holds as many of them,
+    whole, as `size` bytes allow: some 220 of 500 characters. The driver gets LANGUAGES x `sample` pieces at most."""
     rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("text", F.lit("sample")).alias("hash"))
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("hash").alias("texts"))
     many = counts.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
@@ -52,7 +53,18 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, piece: int = PIECE, size: i
     of: dict[str, list[tuple[int, str]]] = {r.lang: [] for r in many}
     for r in found:
         of[r.lang].append((r.rank, r.piece))
-    return [(lang, "\n".join(x for _, x in sorted(held)).encode("utf-8", "surrogatepass")[:size]) for lang, held in of.items()]
+    return [(lang, _whole_pieces([x for _, x in sorted(held)], size)) for lang, held in of.items()]
+
+
+def _whole_pieces(pieces: list[str], size: int) -> bytes:
+    """The first pieces that fit, a line each; of a piece that alone is longer its beginning."""
+    out = b""
+    for piece in pieces:
+        more = (b"\n" if out else b"") + piece.encode("utf-8", "surrogatepass")
+        if len(out) + len(more) > size:
+            return out or more[:size]
+        out += more
+    return out
 
 
 def _compressors(dictionaries: list[tuple[str, bytes]], level: int) -> list[tuple[str, zstandard.ZstdCompressor]]:

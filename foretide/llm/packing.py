@@ -29,10 +29,9 @@ from pyspark.sql import functions as F
 
 from foretide.llm.common import checkpointed, materialised, table, whole_text
 
-#: The ranks hold the same vocabulary as the JSON, and give the same ids; the JSON also names the added tokens, whose strings
-#: in a text are ids of their own.
+#: The ranks hold the same vocabulary as the JSON, and give the same ids as the documented call of it, for which the strings of added tokens
+#: are text like any other (encode_special_tokens = True). `added` names a JSON whose added tokens are ids of their own instead.
 VOCABULARY = "byte_bpe_50k.tiktoken"
-ADDED = "byte_bpe_50k.json"
 END = 1
 SEQUENCE = 2048
 #: Words that a Python worker remembers; beyond it starts anew.
@@ -172,13 +171,13 @@ def _places(histogram: dict[int, int], most: int):
     return place
 
 
-def pack(docs: DataFrame, path: str | None = None, end: int = END, most: int = SEQUENCE, added: str | None = ADDED) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, end: int = END, most: int = SEQUENCE, added: str | None = None) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (little-endian
     unsigned 32-bit numbers).
 
     Each row of docs (doc_id, text; other columns are ignored) is one document, repeated rows and null doc_ids included;
-    a null or empty text holds the end id alone. The string of an added token of the file `added` (<|endoftext|>) is that
-    token's id wherever it stands in a text; with `added` None it is text like any other. Pieces of a sequence lie side by
+    a null or empty text holds the end id alone. With `added`, the name of a JSON, the string of one of its added tokens (<|endoftext|>) is that
+    token's id wherever it stands in a text; without, it is text like any other. Pieces of a sequence lie side by
     side from offset 0. Documents are cut every `most` ids only. Packed sequences have even ids, whole ones odd ids. An
     empty table gives an empty result.
     """

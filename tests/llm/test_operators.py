@@ -254,6 +254,15 @@ def test_languages(spark, sf, documents):
     assert seen > 20 and right / seen > 0.9
 
 
+def test_letters_and_pieces(spark):
+    """Numbers that are written like letters are none; dictionaries hold whole pieces."""
+    rows = [(i, t) for i, t in enumerate(["½ ² Ⅷ ①", "_ 12", "ª", "x", "漢", "١٢"])]
+    learnt = [("en", b"some words of a language"), ("de", b"einige worte einer sprache")]
+    got = {r.row.doc_id: r.lang_pred for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string"), learnt).collect()}
+    assert [got[i] == "und" for i in range(6)] == [True, True, False, False, False, True]
+    assert language_id._whole_pieces(["abc", "de", "fgh"], 7) == b"abc\nde" and language_id._whole_pieces(["abcd"], 2) == b"ab"
+
+
 def test_languages_of_odd_rows(spark, documents, odd, empty):
     learnt = language_id.learn(documents)
     found = {(r.row.doc_id, r.row.text): r for r in language_id.identify(odd, learnt).collect()}
@@ -329,9 +338,15 @@ def test_line_dedup_by_documents(spark, least):
 # 6. Packing.
 
 
-def _check_packing(pieces, texts_of: dict) -> None:
-    pieces = list(pieces)
+def _ids(added: bool = False) -> Tokenizer:
+    """As the vocabulary's documentation reads it, or with the strings of added tokens as these."""
     ids = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids.encode_special_tokens = not added
+    return ids
+
+
+def _check_packing(pieces, texts_of: dict, added: bool = False) -> None:
+    pieces, ids = list(pieces), _ids(added)
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in pieces:
         by_doc[r.doc_id].append(r)
@@ -365,12 +380,14 @@ def test_packing_of_odd_rows(spark, odd, empty):
     rows = [*(t or "" for _, t in ODD), "<|endoftext|>", "a <|endoftext|> b<|endoftext|><|endoftext|>c", "<|endoftext|>x<|endoftext|"]
     found = packing.pack(spark.createDataFrame([*enumerate(rows)], "doc_id long, text string")).collect()
     _check_packing(found, dict(enumerate(rows)))
+    found = packing.pack(spark.createDataFrame([*enumerate(rows)], "doc_id long, text string"), added="byte_bpe_50k.json").collect()
+    _check_packing(found, dict(enumerate(rows)), added=True)
     same = spark.createDataFrame([(i if i % 3 else None, "same text") for i in range(300)], "doc_id long, text string")
     same = packing.pack(same.union(odd.select("doc_id", "text"))).collect()
     places = [(r.sequence_id, r.offset) for r in same]
     assert len(places) == len(set(places)) and sum(r.start == 0 for r in same) == 300 + len(ODD)
     want = Counter([(i if i % 3 else None, "same text") for i in range(300)] + [(i, t or "") for i, t in ODD])
-    ids = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = _ids()
     got = Counter((r.doc_id, r.doc_tokens) for r in same if r.start == 0)
     assert got == sum((Counter({(i, len(ids.encode(t).ids) + 1): n}) for (i, t), n in want.items()), Counter())
     assert packing.pack(empty).count() == 0
