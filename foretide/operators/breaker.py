@@ -12,10 +12,13 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: (failures in a row, the instant since which it is open or None)
 State = tuple[int, int | None]
@@ -91,6 +94,32 @@ def _unpacked(row, rest: int) -> Stretch:
     return Stretch([state(x) for x in row.closed], [(int(x["until"]), state(x)) for x in row.steps], rest)
 
 
+_CLOSED = pa.list_(pa.struct([("failed", pa.int32()), ("since", pa.int64())]))
+_STEPS = pa.list_(pa.struct([("until", pa.int64()), ("failed", pa.int32()), ("since", pa.int64())]))
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(source, stretch), instants, ids, ok and the state before, of each stretch of rows that come in order."""
+    key, at, ids, ok, state = None, [], [], [], None
+    for batch in batches:
+        for name, stretch, t, i, good, *before in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (name, stretch) != key:
+                if key is not None:
+                    yield key, at, ids, ok, [state]
+                key, at, ids, ok, state = (name, stretch), [], [], [], tuple(before)
+            at.append(t)
+            ids.append(i)
+            ok.append(good)
+    if key is not None:
+        yield key, at, ids, ok, [state]
+
+
+def _bundles(items: Iterator, size: int) -> Iterator[list]:
+    items = iter(items)
+    while some := list(islice(items, size)):
+        yield some
+
+
 def circuit_breaker(calls: DataFrame, failures: int = 5, rest_seconds: int = 1800, stretch_seconds: int = 3600, together: int = 256) -> DataFrame:
     """source, call_id, state of calls (source, at_seconds, call_id, ok): whether each was let through (T-11). After `failures` in a row a
     source rests, refusing calls; then one call tries, which closes the breaker or lets it rest again.
@@ -99,15 +128,22 @@ def circuit_breaker(calls: DataFrame, failures: int = 5, rest_seconds: int = 180
     `together` stretches, or a row for each so many stretches of a source. An ok of null is a failure; calls without an instant
     are left out.
     """
-    keyed = calls.filter("at_seconds IS NOT NULL").select("source", "at_seconds", "call_id", F.coalesce("ok", F.lit(False)).alias("ok"), F.floor(F.col("at_seconds") / stretch_seconds).alias("stretch"))
-
-    def in_order(rows: pd.DataFrame) -> tuple[list[int], list[bool]]:
-        return rows["at_seconds"].tolist(), rows["ok"].tolist()
-
-    def summed(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at_seconds", "call_id"])
-        one = Stretch.of(*in_order(rows), failures, rest_seconds)
-        return pd.DataFrame([{"source": rows["source"].iloc[0], "stretch": rows["stretch"].iloc[0], **_packed(one)}])
+    columns = ["source", F.floor(F.col("at_seconds") / stretch_seconds).alias("stretch"), F.col("at_seconds").cast("long").alias("at_seconds"), "call_id", F.coalesce("ok", F.lit(False)).alias("ok")]
+    keyed = calls.filter("at_seconds IS NOT NULL").select(*columns)
+    in_stretches = lambda df: df.repartition("source", "stretch").sortWithinPartitions("source", "stretch", "at_seconds", "call_id")
+    kinds = {f.name: f.dataType for f in keyed.schema.fields}
+    source, call_id = f"source {kinds['source'].simpleString()}", f"call_id {kinds['call_id'].simpleString()}"
+    of_source, of_call = (to_arrow_type(kinds[c]) for c in ("source", "call_id"))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _bundles(_stretches(batches), 256):
+            made = [_packed(Stretch.of(at, ok, failures, rest_seconds)) for _, at, _, ok, _ in some]
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, *_ in some], of_source), pa.array([k[1] for k, *_ in some], pa.int64()), pa.array([x["closed"] for x in made], _CLOSED), pa.array([x["steps"] for x in made], _STEPS)], ["source", "stretch", "closed", "steps"])
+
+    def played(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (name, _), at, ids, ok, rest in _stretches(batches):
+            states = list(play(at, ok, rest[0], failures, rest_seconds))
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids), of_source), pa.array(ids, of_call), pa.array(states, pa.string())], ["source", "call_id", "state"])
 
     def composed(rows: pd.DataFrame) -> pd.DataFrame:
         whole = None
@@ -130,19 +166,11 @@ def circuit_breaker(calls: DataFrame, failures: int = 5, rest_seconds: int = 180
 
         return run
 
-    def played(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at_seconds", "call_id"])
-        since = rows["since"].iloc[0]
-        state = (int(rows["failed"].iloc[0]), None if since is None or since != since else int(since))
-        return rows.assign(state=list(play(*in_order(rows), state, failures, rest_seconds)))[["source", "call_id", "state"]]
-
-    kinds = {f.name: f.dataType.simpleString() for f in keyed.schema.fields}
-    source, call_id = f"source {kinds['source']}", f"call_id {kinds['call_id']}"
-    stretches = keyed.groupBy("source", "stretch").applyInPandas(summed, f"{source}, stretch long, {_STRETCH}")
+    stretches = in_stretches(keyed).mapInArrow(summed, f"{source}, stretch long, {_STRETCH}")
     stretches = stretches.withColumn("span", F.floor(F.col("stretch") / together))
     spans = stretches.groupBy("source", "span").applyInPandas(composed, f"{source}, span long, {_STRETCH}")
     span_starts = spans.groupBy("source").applyInPandas(begun("span"), f"{source}, span long, failed int, since long")
     # sources of null are one source: joined as such
     met = lambda a, b, by: a.join(b.withColumnsRenamed({"source": "of", by: f"of_{by}"}), F.col("source").eqNullSafe(F.col("of")) & (F.col(by) == F.col(f"of_{by}"))).drop("of", f"of_{by}")
     starts = met(stretches, span_starts, "span").groupBy("source", "span").applyInPandas(begun("stretch"), f"{source}, stretch long, failed int, since long")
-    return met(keyed, starts, "stretch").groupBy("source", "stretch").applyInPandas(played, f"{source}, {call_id}, state string")
+    return in_stretches(met(keyed, starts, "stretch")).mapInArrow(played, f"{source}, {call_id}, state string")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foretide.operators import evaluation, ledger, rating
 from foretide.plans.rating_queries import BLEND_SQL, forecast, r6, with_odds
-from foretide.plans.views import FIXTURES_SQL, FORECAST_DAY, fixtures, table
+from foretide.plans.views import FIXTURES_SQL, FORECAST_DAY, fixtures, reused, table
 
 _P = ("p1", "px", "p2", "over15", "over25", "over35", "btts")
 
@@ -27,7 +27,7 @@ def publications(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def settled(spark: SparkSession, sf_dir: str, reference_only: bool = True) -> DataFrame:
     """Settled rows of the versions that count; fixtures in status P are void."""
-    offers = publications(spark, sf_dir)
+    offers = reused(publications(spark, sf_dir)) if reference_only else publications(spark, sf_dir)
     rows = offers.filter("src_status <> 'P'")
     if reference_only:
         rows = rows.join(ledger.reference_version(offers), ["match_id", "version_seq"])

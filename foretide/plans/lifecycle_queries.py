@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foretide.operators import lifecycle, rating
 from foretide.plans.ledger_queries import PUBLISHED_SQL, publications
-from foretide.plans.views import table
+from foretide.plans.views import reused, table
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def _marks(offers: DataFrame) -> DataFrame:
 
 def evaluation_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the marked versions, and of the last ones in time where there is no mark."""
-    offers = publications(spark, sf_dir)
+    offers = reused(publications(spark, sf_dir))
     rows = lifecycle.evaluation_feed(offers, _marks(offers), rating.market_families(offers, "version_seq"))
     return rows.select("match_id", "version_seq", "family", "selection")
 
@@ -49,18 +49,18 @@ def _endings(offers: DataFrame) -> DataFrame:
 
 
 def match_endings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _endings(publications(spark, sf_dir)).select("match_id", F.coalesce("evaluation_status", F.lit("")).alias("evaluation_status"), "is_new")
+    return _endings(reused(publications(spark, sf_dir))).select("match_id", F.coalesce("evaluation_status", F.lit("")).alias("evaluation_status"), "is_new")
 
 
 def settlement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    offers = publications(spark, sf_dir)
+    offers = reused(publications(spark, sf_dir))
     counted = lifecycle.evaluation_feed(offers, _marks(offers), rating.market_families(offers, "version_seq"))
     return lifecycle.settled_rows(_endings(offers), counted).select("match_id", "version_seq", "family", "outcome", "won", "brier", "logloss")
 
 
 def row_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows by status and version: void are those of the latest version only."""
-    offers = publications(spark, sf_dir)
+    offers = reused(publications(spark, sf_dir))
     rows = rating.market_families(offers, "version_seq").withColumn("status", F.when(F.col("match_id") % 37 == 0, "WITHDRAWN").otherwise("PREDICTION_FROZEN"))
     ended = _endings(offers)
     counted = lifecycle.evaluation_feed(offers, _marks(offers), rows.drop("status"))
@@ -69,13 +69,13 @@ def row_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frozen_display(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = _snapshots(spark, sf_dir)
+    held = reused(_snapshots(spark, sf_dir))
     out = lifecycle.display(held, lifecycle.evaluation_versions(held, _marks(held)), "p1:DOUBLE,px:DOUBLE,p2:DOUBLE", "model 1")
     return out.select("match_id", "version_seq", "frozen", *[F.round(f"output.{c}", 6).alias(c) for c in ("p1", "px", "p2")])
 
 
 def verdict_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    offers = publications(spark, sf_dir)
+    offers = reused(publications(spark, sf_dir))
     counted = lifecycle.evaluation_feed(offers, _marks(offers), rating.market_families(offers, "version_seq"))
     return lifecycle.verdict_rows(lifecycle.settled_rows(_endings(offers), counted))
 

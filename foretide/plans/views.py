@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +42,20 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_KEPT: list[DataFrame] = []
+
+
+def reused(rows: DataFrame) -> DataFrame:
+    """rows that several steps of one query read, computed once and kept with the executors, in memory or on disk. What the query before
+    kept is let go; if it is still to be read, or an executor is lost, it is computed anew."""
+    while _KEPT:
+        old = _KEPT.pop()
+        if old.sparkSession is rows.sparkSession:
+            old.unpersist()
+    _KEPT.append(rows.persist(StorageLevel.MEMORY_AND_DISK))
+    return _KEPT[-1]
+
+
 #: The same tables for DuckDB.
 FIXTURES_SQL = """fixtures AS (
   SELECT o_orderkey AS match_id, o_orderpriority AS competition, o_custkey % 20 AS home_id,
