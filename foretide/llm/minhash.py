@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType
 
-from foretide.llm.common import checkpointed, materialised, table, whole_text
+from foretide.llm.common import materialised, table, whole_text
 from foretide.llm.components import components
 
 SHINGLE = 4
@@ -159,7 +159,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: i
     least = max(0, int(bins * share - SPARE * np.sqrt(bins * share * (1 - share))))
     near = pairs.join(_suffixed(nodes, "a", "n", "short"), "a").join(_suffixed(nodes, "b", "n", "short"), "b")
     near = near.filter(100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).filter(_equal_bins("short_a", "short_b") >= least)
-    near = checkpointed(near.select("a", "b", "n_a", "n_b"))
+    near = materialised(near.select("a", "b", "n_a", "n_b"))
     both = near.join(_suffixed(sets, "a", "held"), "a").join(_suffixed(sets, "b", "held"), "b").withColumn("common", _common("held_a", "held_b"))
     return both.filter(100 * F.col("common") >= similarity * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
 
@@ -190,20 +190,20 @@ class _Labels:
         if self.table is not None:
             further = joined.select(F.col("node").alias("label"), F.col("label").alias("next"))
             moved = self.table.join(further, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
-            joined = checkpointed(moved.union(joined.join(self.table, "node", "left_anti").select("node", "label")))
+            joined = materialised(moved.union(joined.join(self.table, "node", "left_anti").select("node", "label")))
         self.table = joined
 
 
 def _stars(members: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: int, bins: int) -> DataFrame:
     """Links (a, b) of members of buckets (key, node, centre) with their centres."""
     pairs = members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    return confirmed(checkpointed(pairs), nodes, sets, similarity, bins)
+    return confirmed(materialised(pairs), nodes, sets, similarity, bins)
 
 
 def _prefixes(left: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """key, node: of each node its rarest shingles, as many as cannot all be missing from a set of the given similarity."""
     asked = sets.join(left, "node", "left_semi").select("node", "held")
-    shingles = checkpointed(asked.mapInArrow(_shingles, "node long, n long, key long"))
+    shingles = materialised(asked.mapInArrow(_shingles, "node long, n long, key long"))
     rare = shingles.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
     order = Window.partitionBy("node").orderBy("times", "key")
     ranked = shingles.join(rare, "key").withColumn("rank", F.row_number().over(order))
@@ -255,10 +255,10 @@ def _linked(similarity: int):
 
 def _in_blocks(buckets: DataFrame, labels: _Labels, held: DataFrame, sets: DataFrame, similarity: int, block: int) -> DataFrame:
     """Links (a, b) between the labels of all sets that meet in buckets (key, node), perhaps over others in between."""
-    met = checkpointed(_apart(labels.of(buckets)).select("key", "node"))
+    met = materialised(_apart(labels.of(buckets)).select("key", "node"))
     lows = met.groupBy("key").agg(F.min("node").alias("low"))
     groups = components(met.join(lows, "key").select(F.col("node").alias("a"), F.col("low").alias("b"))).withColumnRenamed("label", "of")
-    members = checkpointed(labels.of(groups.join(held.select("node", "n"), "node")))
+    members = materialised(labels.of(groups.join(held.select("node", "n"), "node")))
     blocks = members.groupBy("of").agg(F.ceil(F.sum("n") * 8 / block).cast("int").alias("blocks"))
     dealt = members.join(blocks, "of").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -284,17 +284,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     nodes = worded.select("node", "n", "bands", "short").dropDuplicates(["node"])
     keys = nodes.select("node", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("centre")).filter("size > 1").select("key", "centre")
-    members = checkpointed(keys.join(buckets, "key"))
+    members = materialised(keys.join(buckets, "key"))
     asked = members.select("node").distinct()
-    held = checkpointed(nodes.select("node", "n", "short").join(asked, "node", "left_semi"))
+    held = materialised(nodes.select("node", "n", "short").join(asked, "node", "left_semi"))
     one = worded.join(asked, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))  # of equal sets one is read again
     sets = texts.select("row", "text").join(one, "row").select("node", "text").mapInArrow(_sets(shingle), "node long, held binary")
     sets = materialised(sets.dropDuplicates(["node"]))
     labels = _Labels()
-    labels.add(checkpointed(_stars(members, held, sets, similarity, bins)))
-    left = checkpointed(_apart(labels.of(members.filter("node <> centre").select("key", "node"))).select("node").distinct())
+    labels.add(materialised(_stars(members, held, sets, similarity, bins)))
+    left = materialised(_apart(labels.of(members.filter("node <> centre").select("key", "node"))).select("node").distinct())
     if not left.isEmpty():
-        labels.add(checkpointed(_in_blocks(_prefixes(left, sets, similarity), labels, held, sets, similarity, block)))
+        labels.add(materialised(_in_blocks(_prefixes(left, sets, similarity), labels, held, sets, similarity, block)))
     label: Column = F.col("node")
     if labels.table is not None:
         marked = marked.join(labels.table, "node", "left")
