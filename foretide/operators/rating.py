@@ -45,6 +45,12 @@ def team_rates(fixtures: DataFrame, as_of: str) -> DataFrame:
     return out.withColumn("pts", 3 * F.col("w") + F.col("d"))
 
 
+def team_slices(rates: DataFrame) -> DataFrame:
+    """What is shown of a team (F20): its results, and goals for and against by weight of its games."""
+    by_weight = lambda c: F.round(F.col(c) / F.greatest("sw", F.lit(0.01)), 2).alias(c)
+    return rates.select("competition", "team_id", "n", "w", "d", "l", by_weight("gf"), by_weight("ga"))
+
+
 def league_averages(fixtures: DataFrame, as_of: str) -> DataFrame:
     """Goals at home and away of each competition, within bounds."""
     rows = recent(fixtures, as_of).withColumn("w", weight(F.col("kickoff"), as_of))

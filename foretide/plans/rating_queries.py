@@ -21,6 +21,10 @@ def team_table_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rating.team_rates(fixtures(spark, sf_dir), AFTER_ALL).select("competition", "team_id", "n", "w", "d", "l", "pts")
 
 
+def team_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rating.team_slices(rating.team_rates(fixtures(spark, sf_dir), AFTER_ALL))
+
+
 def league_averages_clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rating.league_averages(fixtures(spark, sf_dir), AFTER_ALL).select("competition", "n", *r6("home_avg", "away_avg"))
 
@@ -149,10 +153,11 @@ def at(sql: str, day: str) -> str:
     return "WITH " + sql.replace("@day", day)
 
 
-QUERIES = {f.__name__: f for f in (team_weighted_rates, team_table_points, league_averages_clamped, fixture_forecast, scoreline_top5, market_board, safest_pick, confidence_stars, odds_blend_devig, value_bets, absence_adjustment, live_rescale, market_families)}
+QUERIES = {f.__name__: f for f in (team_weighted_rates, team_table_points, team_slices, league_averages_clamped, fixture_forecast, scoreline_top5, market_board, safest_pick, confidence_stars, odds_blend_devig, value_bets, absence_adjustment, live_rescale, market_families)}
 ORACLES = {
     "team_weighted_rates": at(RATES_SQL, AFTER_ALL) + f" SELECT competition, team_id, {', '.join(_COUNTS)}, {_rounded(*_SUMS)} FROM rates",
     "team_table_points": at(RATES_SQL, AFTER_ALL) + " SELECT competition, team_id, n, w_ AS w, d, l, 3 * w_ + d AS pts FROM rates",
+    "team_slices": at(RATES_SQL, AFTER_ALL) + " SELECT competition, team_id, n, w_ AS w, d, l, round(gf / greatest(sw, 0.01e0), 2) AS gf, round(ga / greatest(sw, 0.01e0), 2) AS ga FROM rates",
     "league_averages_clamped": at(RATES_SQL, AFTER_ALL) + f" SELECT competition, n, {_rounded('home_avg', 'away_avg')} FROM leagues",
     "fixture_forecast": at(FORECAST_SQL, FORECAST_DAY) + f" SELECT match_id, home_id, away_id, {_rounded('lam_home', 'lam_away', 'reliab', 'p1', 'px', 'p2', 'over15', 'over25', 'over35', 'btts')}, CASE WHEN p1 >= px AND p1 >= p2 THEN '1' WHEN px >= p2 THEN 'N' ELSE '2' END AS pick FROM forecast",
     "scoreline_top5": at(FORECAST_SQL, FORECAST_DAY) + " SELECT match_id, CAST(row_number() OVER (PARTITION BY match_id ORDER BY p DESC, h DESC, a DESC) AS INTEGER) AS rank, h || '-' || a AS score, round(p, 6) AS p FROM grid QUALIFY rank <= 5",
