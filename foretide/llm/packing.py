@@ -35,7 +35,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 END = 1
 SEQUENCE = 2048
 #: Words that a Python worker remembers; beyond it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 
 
 class _NotApart(Exception):
