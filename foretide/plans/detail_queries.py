@@ -108,7 +108,7 @@ def venue_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def feed_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each event of one source the one of a feed that it is. Without SQL, as likeness of names has none."""
     book = identity.alias_book(spark.createDataFrame([("Team Alpha 1", "t1", 0), ("Alpha One", "t1", 1), ("Team Bravo 2", "t2", 2)], "alias string, canonical_id string, position int"))
-    rows = identity.with_canonical(team_events(spark, sf_dir), book)
+    rows = identity.with_canonical(team_events(spark, sf_dir), F.broadcast(book))
     return identity.pick_events(rows.filter("source = 's0'"), rows.filter("source = 's1'")).withColumn("picked", F.coalesce("picked", F.lit(-1)))
 
 
