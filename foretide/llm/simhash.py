@@ -9,37 +9,30 @@ its eight bytes with another one cannot be within 4 bits of it (4 differing bits
 fingerprints that share some four bytes go on to emit their ball. This drops no link.
 
 Texts whose shingles agree by a given share differ in more bits than that: at a Jaccard similarity of 0.8 in about 15 % of
-them. For such, similar_groups() makes several short fingerprints of each text's distinct shingles, links by the same balls
-what is near in any of them, and verifies each link on the shingles themselves. It finds such a pair with a chance that grows
-with the number of fingerprints, and never links what is less alike.
+them. Such texts are linked by similar_groups() on the shingles themselves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foretide.llm.common import SPACE, ascii_lower, checkpointed, materialised, table, whole_text
+from foretide.llm.common import checkpointed, table, whole_text
 from foretide.llm.components import components
+from foretide.llm.minhash import near_duplicates
 
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
-#: For links by similarity: words of a shingle, least similarity, fingerprints of 32 bits (even), and bits in which two may differ.
+#: For links by similarity: words of a shingle, and the least similarity in hundredths.
 SIMILAR_SHINGLE = 5
-SIMILARITY = 0.8
-TABLES = 8
-TABLE_RADIUS = 2
-#: Standard deviations by which all fingerprints of a pair may differ in more bits than those of pairs of the least similarity do.
-SPARE = 4.5
+SIMILARITY = 80
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -119,112 +112,19 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Links by similarity.
-
-
-def _shingle_hashes(text: str, shingle: int) -> np.ndarray:
-    """Of the distinct shingles; a text of fewer words is one shingle."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    last = ends[shingle - 1 :].tolist() or [len(joined)]
-    starts = [0, *(ends[: len(last) - 1] + 1).tolist()]
-    return np.unique(np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, last, strict=True)], np.uint64))
-
-
-def sketch(text: str, shingle: int, tables: int) -> list[int]:
-    """`tables` fingerprints, each with its number above 32 bits."""
-    hashes = _shingle_hashes(text, shingle)
-    counts = np.zeros((tables // 2, 64), np.int64)
-    for at in range(0, len(hashes), 4096):
-        for t in range(tables // 2):
-            x = (hashes[at : at + 4096] ^ np.uint64(0x9E3779B97F4A7C15 * (t + 1) & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-            x ^= x >> np.uint64(32)
-            counts[t] += np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    short = np.packbits(counts * 2 > len(hashes), axis=1).reshape(-1, 4).view(">u4").ravel().astype(np.int64)
-    return (short | (np.arange(tables) << 32)).tolist()
-
-
-def shingle_set(text: str, shingle: int) -> bytes:
-    """24 bits of the hash of each distinct shingle, in order."""
-    return np.unique((_shingle_hashes(text, shingle) >> np.uint64(40)).astype("<u4")).view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
-
-
-def _set_of(packed: bytes) -> np.ndarray:
-    out = np.zeros((len(packed) // 3, 4), np.uint8)
-    out[:, :3] = np.frombuffer(packed, np.uint8).reshape(-1, 3)
-    return out.view("<u4").ravel()
-
-
-def _of_texts(make, kind: pa.DataType, name: str):
-    """The last column, texts, replaced by what is made of each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                made = pa.array([make(t) for t in part.column(part.num_columns - 1).to_pylist()], kind)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], made], [*part.schema.names[:-1], name])
-
-    return run
-
-
-def _alike(similarity: float):
-    @F.pandas_udf("boolean")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            least, most = sorted((len(x), len(y)))
-            if least < similarity * most:
-                out.append(False)
-                continue
-            both = len(np.intersect1d(_set_of(x), _set_of(y), assume_unique=True))
-            out.append(both >= similarity * ((len(x) + len(y)) // 3 - both))
-        return pd.Series(out, dtype=bool)
-
-    return alike
-
-
-def _most_bits(similarity: float, bits: int) -> int:
-    """Bits of so many in which the fingerprints of a pair of this similarity differ at most, but for chance: the share is the
-    angle between their sets over a half turn."""
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(bits * share + SPARE * np.sqrt(bits * share * (1 - share)))
-
-
-def similar_groups(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, tables: int = TABLES, radius: int = TABLE_RADIUS) -> DataFrame:
+def similar_groups(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, component_id (of no meaning but that it is equal within a group) for each row of docs (doc_id, text; other columns
     are ignored).
 
-    Texts of the same words, but for A-Z and white space, are linked, and texts whose sets of shingles have a Jaccard similarity
-    of `similarity` or more and a fingerprint in common but for `radius` bits (even), as long as all their fingerprints
-    differ in no more bits than such pairs do (SPARE). Fewer words than a shingle are one shingle; texts without words are alike. A null text is empty. At each word of the balls a text meets the first and the next smaller
-    one of those there, so links are as many as fingerprints emit words, never all pairs. Empty tables give empty results.
+    Texts whose sets of shingles have a Jaccard similarity of `similarity` hundredths or more are linked, and texts without words are
+    alike. Candidates and links are those of minhash.near_duplicates(), which loses none at frequent keys. Fewer words than a
+    shingle are one shingle. A null text is empty; equal texts are one node. Empty tables give empty results.
     """
-    if radius not in (0, 2) or tables % 2:
-        raise ValueError("radius is 0 or 2, tables are even")
-    words = F.regexp_replace(F.btrim(ascii_lower(whole_text()), F.lit(SPACE)), "[ \\t-\\r]+", " ")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(words).alias("node"), whole_text().alias("text"))
-    sketches = _of_texts(partial(sketch, shingle=shingle, tables=tables), pa.list_(pa.int64()), "short")
-    marked = materialised(texts.mapInArrow(sketches, "doc_id long, node long, short array<long>"))
-    nodes = marked.select("node", "short").dropDuplicates(["node"])
-    masks = [0] + [1 << i for i in range(32)] * (radius // 2)
-    near = F.flatten(F.transform("short", lambda f: F.transform(_values(masks), lambda m: f.bitwiseXOR(m))))
-    there = Window.partitionBy("word").orderBy("node")
-    met = nodes.select("node", F.explode(near).alias("word")).select(F.col("node").alias("b"), F.first("node").over(there).alias("first"), F.lag("node").over(there).alias("before")).filter("before IS NOT NULL")
-    pairs = checkpointed(met.select("b", F.explode(F.array_distinct(F.array("first", "before"))).alias("a")).distinct())
-    of = lambda df, x, c: df.select(F.col("node").alias(x), F.col(c).alias(f"{c}_{x}"))
-    differ = F.aggregate(F.zip_with("short_a", "short_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    pairs = pairs.join(of(nodes, "a", "short"), "a").join(of(nodes, "b", "short"), "b").filter(differ <= _most_bits(similarity, 32 * tables)).select("a", "b")
-    pairs = checkpointed(pairs)
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = texts.select("node", "text").join(asked, "node", "left_semi").mapInArrow(_of_texts(partial(shingle_set, shingle=shingle), pa.binary(), "held"), "node long, held binary")
-    sets = materialised(sets.dropDuplicates(["node"]))
-    links_ = checkpointed(pairs.join(of(sets, "a", "held"), "a").join(of(sets, "b", "held"), "b").filter(_alike(similarity)("held_a", "held_b")).select("a", "b"))
-    labels = components(links_)
-    out = marked.select("doc_id", "node").join(labels, "node", "left")
-    return out.select("doc_id", F.coalesce("label", "node").alias("component_id"))
+    node = F.xxhash64(whole_text()).alias("node")
+    found = near_duplicates(docs.select(node.alias("doc_id"), "text"), shingle, similarity)
+    wordless = F.when(F.col("n_shingles") == 0, F.xxhash64(F.lit(""))).otherwise(F.col("component_id"))
+    groups = found.select(F.col("doc_id").alias("node"), wordless.alias("component_id")).distinct()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), node).join(groups, "node").select("doc_id", "component_id")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
