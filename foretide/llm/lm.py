@@ -5,9 +5,9 @@ product with a word's vector is the word's score. A symbol is the end of a docum
 other words with the same ending. Symbols lie in groups of about the root of their number, so that log probabilities are
 normalised exactly by two short matrix products: over the groups, and over the symbols of the word's group.
 
-Both are trained by telling what follows from noise that is drawn by frequency. First on a bounded sample of all training
-rows at the driver, from which every task then goes on over its own rows; the parameters of all tasks are averaged, as a
-tree of small sums, so that what the model learns from grows with the corpus. Words in a class share its probability by
+Both are trained by telling what follows from noise that is drawn by frequency. A bounded sample of all training rows at the
+driver gives where to begin; from there every task goes on over all positions of its own rows, and the parameters of all tasks
+are averaged, as a tree of small sums, so that the model learns from the whole corpus. Words in a class share its probability by
 their counts; the counts of frequent words go to the tasks, a bounded number, and rarer words meet theirs in a join.
 """
 
@@ -46,8 +46,7 @@ NOISE_WORDS = 8
 BATCH = 1024
 SAMPLE = 400_000
 EPOCHS = 2
-#: Of how many positions each task learns from one, and how many rows a step of the tree of sums takes.
-EVERY = 8
+#: How many rows a step of the tree of sums takes.
 FAN = 64
 #: Positions are drawn from documents that are drawn first: so many times the share of positions.
 SPREAD = 4
@@ -241,12 +240,14 @@ def _windows(symbols: Symbols, share: float, salt: int, batches: Iterator[pa.Rec
     """Windows (positions, context + 1) of a share of all positions in the texts, by a hash of the text and the position."""
     back = np.arange(1, CONTEXT + 1)
     for batch in batches:
-        for at in range(0, batch.num_rows, 128):
+        for at in range(0, batch.num_rows, 32):
             rows = []
-            for text in batch.column(0).slice(at, 128).to_pylist():
+            for text in batch.column(0).slice(at, 32).to_pylist():
                 s = symbols.of(words_of(text))
-                rng = np.random.default_rng([salt, zlib.crc32(text.encode("utf-8", "surrogatepass"))])
-                places = CONTEXT + np.flatnonzero(rng.random(len(s) - CONTEXT) < share)
+                places = np.arange(CONTEXT, len(s))
+                if share < 1:
+                    rng = np.random.default_rng([salt, zlib.crc32(text.encode("utf-8", "surrogatepass"))])
+                    places = places[rng.random(len(places)) < share]
                 rows.append(np.concatenate([s[places[:, None] - back], s[places[:, None]]], axis=1))
             yield np.concatenate(rows)
 
@@ -275,15 +276,15 @@ def _sampled(symbols: Symbols, share: float):
 _BLOCK = 1 << 13
 
 
-def _trainer(network: Network, symbols: Symbols, share: float, rate: float):
-    """Parameters of a task, times the positions that it learned from, in blocks."""
+def _trainer(network: Network, symbols: Symbols, rate: float):
+    """Parameters of a task that learned from all its positions, times their number, in blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), 0
 
         def counted() -> Iterator[np.ndarray]:
             nonlocal seen
-            for some in _minibatches(_windows(symbols, share, 2, batches)):
+            for some in _minibatches(_windows(symbols, 1.0, 2, batches)):
                 seen += len(some)
                 yield some
 
@@ -334,7 +335,7 @@ class Model:
 
 
 def learn(texts: DataFrame, sample: int = SAMPLE, own: int = OWN, rate: float = 0.1) -> Model:
-    """From all rows of texts (text). The driver gets BROADCAST words, about `sample` positions, and the network's parameters."""
+    """From all positions of all rows of texts (text). The driver gets BROADCAST words, about `sample` positions, and the network's parameters."""
     counts = materialised(word_counts(texts))
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     ends = texts.count()
@@ -359,8 +360,7 @@ def learn(texts: DataFrame, sample: int = SAMPLE, own: int = OWN, rate: float =
         for epoch in range(EPOCHS):
             order = rng.permutation(len(drawn))
             network.train((drawn[order[a : a + BATCH]] for a in range(0, len(order), BATCH)), rate / (1 + epoch), epoch)
-        some, share = _drawn(plain, 1 / EVERY, 2)
-        averaged(network, some.mapInArrow(_trainer(network, symbols, share, rate / 4), _SUMS))
+        averaged(network, plain.mapInArrow(_trainer(network, symbols, rate / 4), _SUMS))
     return Model(counts, dict(top), symbols, network, np.log10(below), tokens, sums.v + (ends > 0), ends)
 
 
