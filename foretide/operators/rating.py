@@ -147,7 +147,9 @@ def value_bets(blend: DataFrame) -> DataFrame:
     leg = lambda n, side, p, m: F.struct((F.col(p) - F.col(m)).alias("edge"), F.lit(-n).alias("order"), F.lit(side).alias("side"), F.col(p).alias("p"))
     legs = F.array(leg(0, "1", "p1", "market_1"), leg(1, "N", "px", "market_x"), leg(2, "2", "p2", "market_2"))
     best = F.array_max(F.filter(legs, lambda x: (x["edge"] >= ODDS.value_edge) & (x["p"] >= ODDS.value_least)))
-    return blend.withColumn("value", best).filter("value IS NOT NULL").withColumns({"value_side": F.col("value.side"), "value_edge": F.col("value.edge")}).drop("value")
+    # as rows: a condition on a column goes down to the scan with all that the column is made of, the grid once for each time it is named
+    rows = blend.select("*", F.explode_outer(F.array(best)).alias("value"))
+    return rows.filter("value IS NOT NULL").withColumns({"value_side": F.col("value.side"), "value_edge": F.col("value.edge")}).drop("value")
 
 
 #: The markets on display, in their order, with their kind and their probability.
