@@ -1,9 +1,9 @@
 """Which versions were known at an instant, for rows that each have their own.
 
-A version holds from the instant at which it was retrieved until the next one of its key is. Spans and instants meet by cells of the
-dyadic grid of time: a span is the union of at most two cells a level, an instant lies in one cell of each level, and the two
-share exactly one cell if and only if the span holds the instant. So the join is one by equality, emits no pair that
-doesn't belong together, and needs neither a bound on the length of spans nor a sort of all times.
+A version holds from the instant at which it was retrieved until the next one of its key is. The instants of versions and of rows that
+ask go over each key in one order of time, and a row takes the last instant of a version that it has passed. Only instants and the
+rows that ask are sorted; versions meet them afterwards, by key and instant, in a join by equality that emits no pair that
+doesn't belong together.
 """
 
 from __future__ import annotations
@@ -11,30 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Levels of cells: microseconds of some 290,000 years.
-LEVELS = 63
-
-
-def _levels() -> Column:
-    return F.sequence(F.lit(0), F.lit(LEVELS - 1))
-
-
-def cells_of_span(start: Column, end: Column) -> Column:
-    """(level, cell) of [start, end), whole numbers from 0; none if it is empty."""
-    def at(level: Column) -> Column:
-        # the span in cells of this level: what lies in whole cells of the next one is left to that
-        low = F.call_function("shiftright", start + F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1, level)
-        high = F.call_function("shiftright", end, level)
-        left = F.when((low < high) & (low % 2 == 1), F.struct(level.alias("level"), low.alias("cell")))
-        right = F.when((low < high) & (high % 2 == 1), F.struct(level.alias("level"), (high - 1).alias("cell")))
-        return F.array_compact(F.array(left, right))
-
-    return F.flatten(F.transform(_levels(), at))
-
-
-def cells_of_instant(at: Column) -> Column:
-    return F.transform(_levels(), lambda level: F.struct(level.alias("level"), F.call_function("shiftright", at, level).alias("cell")))
-
 
 def _micros(at: str) -> Column:
     return F.unix_micros(F.col(at).cast("timestamp"))
@@ -46,15 +22,12 @@ def known_at(probes: DataFrame, versions: DataFrame, key: list[str], as_of: str
     such a version go. Of versions retrieved at the same instant all are known. Columns of versions must differ from those of probes
     but for the key; instants lie between 1970 and 2262, other rows, and those without an instant or a part of the key, meet nothing.
     """
-    held = versions.filter(_micros(retrieved_at) >= 0).withColumn("from_us", _micros(retrieved_at))
-    starts = held.select(*key, "from_us").distinct()
-    following = F.lead("from_us").over(Window.partitionBy(*key).orderBy("from_us"))
-    spans = starts.withColumn("to_us", F.coalesce(following, F.lit(1 << 62)))
-    spans = spans.select(*key, "from_us", F.explode(cells_of_span(F.col("from_us"), F.col("to_us"))).alias("at")).select(*key, "from_us", "at.level", "at.cell")
-    # levels at which no span has a cell are not looked up
-    used = spans.groupBy("level").agg(F.lit(1).alias("one")).select("level")
-    asked = probes.select(*key, as_of).distinct().filter(_micros(as_of) >= 0)
-    asked = asked.select(*key, as_of, F.explode(cells_of_instant(_micros(as_of))).alias("at")).select(*key, as_of, "at.level", "at.cell")
-    met = asked.join(F.broadcast(used), "level", "left_semi").join(spans, [*key, "level", "cell"]).select(*key, as_of, "from_us")
-    out = probes.join(met, [*key, as_of]).join(held, [*key, "from_us"]).drop("from_us")
+    held = versions.filter(_micros(retrieved_at) >= 0).dropna(subset=key).withColumn("from_us", _micros(retrieved_at))
+    asked = probes.filter(_micros(as_of) >= 0).dropna(subset=key)
+    own = [c for c in probes.columns if c not in key]
+    asking = asked.select(*key, _micros(as_of).alias("at_us"), F.lit(True).alias("asks"), F.lit(None).cast("long").alias("from_us"), F.struct(*own).alias("own"))
+    known = held.select(*key, F.col("from_us").alias("at_us"), F.lit(False).alias("asks"), "from_us", F.lit(None).cast(asking.schema["own"].dataType).alias("own"))
+    by_time = Window.partitionBy(*key).orderBy("at_us", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = known.unionByName(asking).withColumn("from_us", F.max("from_us").over(by_time)).filter("asks AND from_us IS NOT NULL")
+    out = met.select(*key, "own.*", "from_us").join(held, [*key, "from_us"]).drop("from_us")
     return out.filter(F.coalesce(F.col(effective_at) <= F.col(as_of), F.lit(True)))
