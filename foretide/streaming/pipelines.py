@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,28 +70,31 @@ def reference_marks(offers: DataFrame, minutes: int = 15, late: str = "1 day") -
     the mark is told, and the state goes a day after the start, when nothing can come any more.
     """
 
+    def micros(times: pd.Series) -> np.ndarray:
+        return times.to_numpy().astype("datetime64[us]").astype(np.int64)
+
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        nothing = pd.DataFrame({"match_id": [], "version": [], "marked_at": []}).astype({"match_id": "int64", "version": "int64", "marked_at": "datetime64[us]"})
         if state.hasTimedOut:
             at, version, timer, told = state.get
             if told:
                 state.remove()
-                yield nothing
                 return
             state.update((at, version, timer, True))
             state.setTimeoutTimestamp(max(timer + minutes * 60_000, state.getCurrentWatermarkMs()) + 86_400_000)
-            yield pd.DataFrame({"match_id": [key[0]], "version": [version], "marked_at": [pd.Timestamp(timer, unit="ms")]}) if version >= 0 else nothing
+            if version >= 0:
+                yield pd.DataFrame({"match_id": [key[0]], "version": [version], "marked_at": [pd.Timestamp(timer, unit="ms")]})
             return
         at, version, timer, told = state.get if state.exists else (-1, -1, -1, False)
-        for rows in frames:
-            timer = int(rows["kickoff"].max().timestamp() * 1000) - minutes * 60_000
-            early = rows[rows["ts"] <= rows["kickoff"] - pd.Timedelta(minutes=minutes)]
+        for rows in frames:  # a group is a few rows: arrays, for frames would take most of the time
+            ts, start = micros(rows["ts"]), micros(rows["kickoff"])
+            timer = int(start.max()) // 1000 - minutes * 60_000
+            early = np.flatnonzero((ts <= start - minutes * 60_000_000) & rows["ts"].notna().to_numpy())
             if len(early):
-                last = early.sort_values(["ts", "version"]).iloc[-1]
-                at, version = max((at, version), (int(last["ts"].value // 1000), int(last["version"])))
+                versions = rows["version"].to_numpy()[early]
+                last = np.lexsort((versions, ts[early]))[-1]
+                at, version = max((at, version), (int(ts[early[last]]), int(versions[last])))
         state.update((at, version, timer, told))
         state.setTimeoutTimestamp(max(timer, state.getCurrentWatermarkMs() + 1) if not told else max(timer, state.getCurrentWatermarkMs()) + 86_400_000)
-        yield nothing
 
     rows = timed(offers).withColumn("kickoff", F.col("kickoff").cast("timestamp")).withWatermark("ts", late)
     return rows.groupBy("match_id").applyInPandasWithState(run, _MARKS, "at long, version long, timer long, told boolean", "append", GroupStateTimeout.EventTimeTimeout)
