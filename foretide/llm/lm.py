@@ -39,11 +39,12 @@ GATHERED = 500_000
 #: Words of context, numbers in a vector.
 CONTEXT = 4
 SIZE = 24
-#: Noise samples of a step for the group, and of each position for the word in it.
+#: Noise samples of a step for the group, and of the positions of each group for the word in it.
 NOISE_GROUPS = 24
 NOISE_WORDS = 8
-#: Positions in a minibatch; positions that the driver learns from, about (all, if fewer), and how often it goes over them.
+#: Positions in a minibatch at the driver and in a task; positions that the driver learns from, about (all, if fewer), and how often it goes over them.
 BATCH = 1024
+TASK_BATCH = 4096
 SAMPLE = 400_000
 EPOCHS = 2
 #: How many rows a step of the tree of sums takes.
@@ -131,53 +132,89 @@ class Network:
         draw = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
         self.p = {"word": draw(len(n), size), "near": np.ones((context, size), np.float32), "group": draw(self.parts, size), "target": draw(len(n), size)}
         self.p |= {"group_bias": np.log(self.q_group).astype(np.float32), "bias": np.log(self.q_word).astype(np.float32)}
+        self.seen = {k: np.full_like(v, 1e-8) for k, v in self.p.items()}
+        self.room: dict[str, np.ndarray] = {}
 
     def predicted(self, contexts: np.ndarray) -> np.ndarray:
         """contexts (positions, context), the nearest word first."""
         return np.einsum("bcd,cd->bd", self.p["word"][contexts], self.p["near"])
 
-    def gradient(self, windows: np.ndarray, rng: np.random.Generator) -> Iterator[tuple[str, np.ndarray | None, np.ndarray]]:
-        """(name, rows or None for all, slope) of the NCE objective, the mean over windows (positions, context + 1): what follows stands last."""
-        contexts, target, b = windows[:, :-1], windows[:, -1], len(windows)
-        held = self.p["word"][contexts]
-        h = np.einsum("bcd,cd->bd", held, self.p["near"])
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"room": {}}
+
+    def _room(self, name: str, shape: tuple[int, ...]) -> np.ndarray:
+        """An array that is written over in each step: fresh memory for each costs more than what is computed."""
+        held = self.room.get(name)
+        if held is None or len(held) < shape[0]:
+            held = self.room[name] = np.empty(shape, np.float32)
+        return held[: shape[0]]
+
+    def _rows(self, name: str, of: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        return np.take(of, rows, axis=0, out=self._room(name, (len(rows), of.shape[1])), mode="clip")
+
+    def gradient(self, windows: np.ndarray, rng: np.random.Generator) -> dict[str, np.ndarray]:
+        """Slopes of the NCE objective, the mean over windows (positions, context + 1): what follows stands last. Noise for the group is
+        drawn once for all positions, noise within a group once for the positions that it follows, so that both are matrix products."""
+        windows = windows[_order(windows[:, -1])]  # groups are ranges of symbols, so positions of a group lie together
+        contexts, target, b = np.ascontiguousarray(windows[:, :-1].T), windows[:, -1], len(windows)
+        word, near, vectors, of_group = self.p["word"], self.p["near"], self.p["target"], self.p["group"]
+        held = [self._rows(f"held {c}", word, rows) for c, rows in enumerate(contexts)]
+        h, some = np.multiply(held[0], near[0], out=self._room("h", held[0].shape)), self._room("some", held[0].shape)
+        for x, k in zip(held[1:], near[1:], strict=True):
+            h += np.multiply(x, k, out=some)
         group = self.group_of[target]
+        firsts = np.flatnonzero(np.diff(group, prepend=-1))
+        there, ends = group[firsts], [*firsts[1:].tolist(), b]
         noise = rng.choice(self.parts, NOISE_GROUPS, p=self.q_group / self.q_group.sum())
-        offset = np.log(NOISE_GROUPS * self.q_group).astype(np.float32)
-        true = _sigmoid(np.einsum("bd,bd->b", h, self.p["group"][group]) + self.p["group_bias"][group] - offset[group])
-        false = _sigmoid(h @ self.p["group"][noise].T + self.p["group_bias"][noise] - offset[noise])
-        up, down = (1 - true) / b, -false / b
-        back = up[:, None] * self.p["group"][group] + down @ self.p["group"][noise]
-        yield "group", np.concatenate([group, noise]), np.concatenate([up[:, None] * h, down.T @ h])
-        yield "group_bias", np.concatenate([group, noise]), np.concatenate([up, down.sum(axis=0)])
-        # Noise from the target's group, by the place of a random number among its symbols' shares.
-        low, high = self.ends[self.starts[group]], self.ends[self.starts[group + 1]]
-        at = np.searchsorted(self.ends, low[:, None] + rng.random((b, NOISE_WORDS)) * (high - low)[:, None], "right") - 1
-        every = np.concatenate([target[:, None], np.clip(at, self.starts[group][:, None], self.starts[group + 1][:, None] - 1)], axis=1)
-        vectors = self.p["target"][every]
-        real = _sigmoid(np.einsum("bkd,bd->bk", vectors, h) + self.p["bias"][every] - np.log(NOISE_WORDS * self.q_word[every]).astype(np.float32))
-        slope = -real / b
-        slope[:, 0] = (1 - real[:, 0]) / b
-        back += np.einsum("bk,bkd->bd", slope, vectors)
-        yield "target", every.ravel(), (slope[:, :, None] * h[:, None, :]).reshape(-1, h.shape[1])
-        yield "bias", every.ravel(), slope.ravel()
-        yield "word", contexts.ravel(), (back[:, None, :] * self.p["near"]).reshape(-1, h.shape[1])
-        yield "near", None, np.einsum("bd,bcd->cd", back, held)
+        bias = self.p["group_bias"] - np.log(NOISE_GROUPS * self.q_group).astype(np.float32)
+        mine = self._rows("mine", of_group, group)
+        up = (1 - _sigmoid(np.einsum("bd,bd->b", h, mine) + bias[group])) / b
+        down = _sigmoid(h @ of_group[noise].T + bias[noise]) / -b
+        back = np.matmul(down, of_group[noise], out=self._room("back", h.shape))
+        back += np.multiply(up[:, None], mine, out=some)
+        slopes = {k: self._room(f"slope of {k}", v.shape) for k, v in self.p.items()}
+        for v in slopes.values():
+            v.fill(0)
+        slopes["group"][there], slopes["group_bias"][there] = np.add.reduceat(np.multiply(up[:, None], h, out=some), firsts), np.add.reduceat(up, firsts)
+        np.add.at(slopes["group"], noise, down.T @ h)
+        np.add.at(slopes["group_bias"], noise, down.sum(axis=0))
+        # Noise from a group, by the place of a random number among its symbols' shares.
+        low, high = self.ends[self.starts[there]], self.ends[self.starts[there + 1]]
+        at = np.searchsorted(self.ends, low[:, None] + rng.random((len(there), NOISE_WORDS)) * (high - low)[:, None], "right") - 1
+        drawn = np.clip(at, self.starts[there][:, None], self.starts[there + 1][:, None] - 1)
+        bias = self.p["bias"] - np.log(NOISE_WORDS * self.q_word).astype(np.float32)
+        mine, others = self._rows("mine", vectors, target), vectors[drawn]
+        up = (1 - _sigmoid(np.einsum("bd,bd->b", h, mine) + bias[target])) / b
+        down = np.repeat(bias[drawn], np.diff(firsts, append=b), axis=0)
+        for a, z, x in zip(firsts.tolist(), ends, others, strict=True):
+            down[a:z] += h[a:z] @ x.T
+        down = _sigmoid(down) / -b
+        back += np.multiply(up[:, None], mine, out=some)
+        false = np.empty_like(others)
+        for i, (a, z, x) in enumerate(zip(firsts.tolist(), ends, others, strict=True)):
+            back[a:z] += down[a:z] @ x
+            false[i] = down[a:z].T @ h[a:z]
+        _add_rows(slopes["target"], target, np.multiply(up[:, None], h, out=some))
+        _add_rows(slopes["bias"], target, up)
+        order, noise = _order(drawn.ravel()), drawn.ravel()
+        _add_rows(slopes["target"], noise[order], false.reshape(-1, h.shape[1])[order])
+        _add_rows(slopes["bias"], noise[order], np.add.reduceat(down, firsts).ravel()[order])
+        for c, (rows, x) in enumerate(zip(contexts, held, strict=True)):
+            order = _order(rows)
+            _add_rows(slopes["word"], rows[order], self._rows("mine", back, order), near[c])
+            slopes["near"][c] = np.einsum("bd,bd->d", back, x)
+        return slopes
 
     def train(self, batches: Iterator[np.ndarray], rate: float, seed: int) -> None:
-        """By Adagrad, a step for each minibatch."""
-        rng, seen = np.random.default_rng(seed), {k: np.full_like(v, 1e-8) for k, v in self.p.items()}
+        """By Adagrad, a step for each minibatch; what was seen before keeps on making steps shorter."""
+        rng = np.random.default_rng(seed)
         for windows in batches:
-            for name, rows, slope in list(self.gradient(windows, rng)):
-                if rows is None:
-                    seen[name] += slope * slope
-                    self.p[name] += rate * slope / np.sqrt(seen[name])
-                    continue
-                order = np.argsort(rows, kind="stable")
-                first = np.flatnonzero(np.concatenate([[True], np.diff(rows[order]) != 0]))
-                at, total = rows[order][first], np.add.reduceat(slope[order], first, axis=0)
-                seen[name][at] += total * total
-                self.p[name][at] += (rate * total / np.sqrt(seen[name][at])).astype(np.float32)
+            for name, slope in self.gradient(windows, rng).items():
+                by = np.multiply(slope, slope, out=self._room(f"step of {name}", slope.shape))
+                self.seen[name] += by
+                slope *= rate
+                slope /= np.sqrt(self.seen[name], out=by)
+                self.p[name] += slope
 
     def log_p(self, symbols: np.ndarray, follows: np.ndarray, at_once: int = 8192) -> np.ndarray:
         """log10 probability of each symbol in `follows` (places in symbols) after those before it."""
@@ -214,6 +251,17 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _order(keys: np.ndarray) -> np.ndarray:
+    """What sorts keys from 0, by digits where they are short."""
+    return np.argsort(keys.astype(np.uint16) if len(keys) and keys.max() < 1 << 16 else keys, kind="stable")
+
+
+def _add_rows(to: np.ndarray, rows: np.ndarray, values: np.ndarray, times: np.ndarray | float = 1.0) -> None:
+    """Adds the sums of values of like rows, which are in order, times `times`."""
+    first = np.flatnonzero(np.diff(rows, prepend=-1))
+    to[rows[first]] += np.add.reduceat(values, first, axis=0) * times
+
+
 def _log_softmax(scores: np.ndarray, bias: np.ndarray, which: np.ndarray) -> np.ndarray:
     """Of one symbol in each row; scores are used up."""
     scores += bias
@@ -284,7 +332,7 @@ def _trainer(network: Network, symbols: Symbols, rate: float):
 
         def counted() -> Iterator[np.ndarray]:
             nonlocal seen
-            for some in _minibatches(_windows(symbols, 1.0, 2, batches)):
+            for some in _minibatches(_windows(symbols, 1.0, 2, batches), TASK_BATCH):
                 seen += len(some)
                 yield some
 
@@ -360,7 +408,7 @@ def learn(texts: DataFrame, sample: int = SAMPLE, own: int = OWN, rate: float =
         for epoch in range(EPOCHS):
             order = rng.permutation(len(drawn))
             network.train((drawn[order[a : a + BATCH]] for a in range(0, len(order), BATCH)), rate / (1 + epoch), epoch)
-        averaged(network, plain.mapInArrow(_trainer(network, symbols, rate / 4), _SUMS))
+        averaged(network, plain.mapInArrow(_trainer(network, symbols, rate / 2), _SUMS))
     return Model(counts, dict(top), symbols, network, np.log10(below), tokens, sums.v + (ends > 0), ends)
 
 
