@@ -14,13 +14,14 @@ their counts; the counts of frequent words go to the tasks, a bounded number, an
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,8 @@ LEAST = 3
 BROADCAST = 1 << 17
 #: Distinct words a task gathers before it hands them on.
 GATHERED = 500_000
+#: Bytes of text, about, whose words a task finds at once.
+TOGETHER = 2 << 20
 #: Words of context, numbers in a vector.
 CONTEXT = 4
 SIZE = 24
@@ -53,24 +56,61 @@ FAN = 64
 SPREAD = 4
 
 
-def words_of(text: str) -> list[bytes]:
-    """Lower-cased words; bytes.split() cuts at [\\x20\\x09-\\x0D] exactly, and bytes.lower() changes A-Z only."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
+_LOWER, _WHITE = np.arange(256, dtype=np.uint8), np.zeros(256, bool)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+_WHITE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words of all texts, in order, and how many each text has; cut at [\\x20\\x09-\\x0D], A-Z lower-cased only."""
+    texts = texts.cast(pa.large_binary())
+    edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    size = int(edges[-1] - edges[0])
+    if not size:
+        return pa.array([], pa.binary()), np.zeros(len(texts), np.int64)
+    data, edges = np.frombuffer(texts.buffers()[2], np.uint8)[edges[0] : edges[-1]], edges - edges[0]
+    solid = ~_WHITE[data]
+    first, last, cuts = solid.copy(), solid.copy(), edges[(edges > 0) & (edges < size)]
+    first[1:] &= ~solid[:-1]
+    last[:-1] &= ~solid[1:]
+    first[cuts], last[cuts - 1] = solid[cuts], solid[cuts - 1]
+    starts = np.flatnonzero(first)
+    ends = np.concatenate([[0], np.cumsum(np.flatnonzero(last) + 1 - starts)]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(_LOWER[data[solid]])])
+    return words, np.diff(np.searchsorted(starts, edges))
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], most: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+    """Rows whose texts, the last column, have `most` bytes together, or one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(batch.num_columns - 1)).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(ends):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, to - at)
+            at = to
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+def _places(words: pa.Array, among: pa.Array) -> np.ndarray:
+    """Where each word stands in `among`, -1 if nowhere."""
+    return pc.index_in(words, value_set=among).fill_null(-1).to_numpy(zero_copy_only=False)
 
-    held: Counter[bytes] = Counter()
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            for text in batch.column(0).slice(at, 256).to_pylist():
-                held.update(words_of(text))
-            if len(held) > GATHERED:
-                yield out()
-                held = Counter()
-    yield out()
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gathered() -> pa.Table:
+        return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
+    held: list[pa.Table] = []
+    for piece in _pieces(batches):
+        found = words_in(piece.column(0))[0].value_counts()
+        held.append(pa.table([found.field(0), found.field(1)], ["word", "n"]))
+        if sum(map(len, held)) > 2 * GATHERED:
+            held = [gathered()]
+            if len(held[0]) > GATHERED:
+                yield from held[0].to_batches()
+                held = []
+    if held:
+        yield from gathered().to_batches()
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -108,10 +148,38 @@ class Symbols:
     def word_class(self, word: bytes) -> int:
         return len(self.own) + 1 + zlib.crc32(word[-2:]) % CLASSES
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        """CONTEXT ends as what is before a document, its words, its end."""
-        get, other = self.own.get, self.word_class
-        return np.array([0] * CONTEXT + [s if (s := get(w)) is not None else other(w) for w in words] + [0], np.int32)
+    def classes(self, words: pa.Array) -> np.ndarray:
+        """word_class() of each word."""
+        if not len(words):
+            return np.zeros(0, np.int32)
+        ends, data = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1], np.frombuffer(words.buffers()[2], np.uint8)
+        last = data[ends[1:] - 1].astype(np.int64)
+        ending = np.where(np.diff(ends) > 1, 256 + 256 * data[ends[1:] - 2].astype(np.int64) + last, last)
+        return len(self.own) + 1 + _class_of_ending()[ending]
+
+    def of(self, words: pa.Array, among: pa.Array) -> np.ndarray:
+        """The symbol of each word; among: `own` as an array."""
+        found = _places(words, among) + 1
+        others = np.flatnonzero(found == 0)
+        found[others] = self.classes(words.take(pa.array(others)))
+        return found
+
+
+@cache
+def _class_of_ending() -> np.ndarray:
+    """The classes of endings of a byte, then of two."""
+    return np.array([zlib.crc32(bytes(x)) % CLASSES for x in [*((b,) for b in range(256)), *((a, b) for a in range(256) for b in range(256))]], np.int32)
+
+
+def _line(symbols: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """CONTEXT ends as what is before a document, the symbols of its n words, its end, for each document; and the places of what follows."""
+    first = np.concatenate([[0], np.cumsum(n + CONTEXT + 1)])
+    line, follows = np.zeros(first[-1], np.int32), np.ones(first[-1], bool)
+    follows[(first[:-1, None] + np.arange(CONTEXT)).ravel()] = False
+    words = follows.copy()
+    words[first[1:] - 1] = False
+    line[words] = symbols
+    return line, np.flatnonzero(follows)
 
 
 class Network:
@@ -128,6 +196,7 @@ class Network:
         q = (n + 0.5) / (n + 0.5).sum()
         self.ends = np.concatenate([[0], np.cumsum(q)])
         self.q_group = np.add.reduceat(q, self.starts[:-1])
+        self.group_ends = np.cumsum(self.q_group) / self.q_group.sum()
         self.q_word = q / self.q_group[self.group_of]
         draw = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
         self.p = {"word": draw(len(n), size), "near": np.ones((context, size), np.float32), "group": draw(self.parts, size), "target": draw(len(n), size)}
@@ -142,70 +211,102 @@ class Network:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"room": {}}
 
-    def _room(self, name: str, shape: tuple[int, ...]) -> np.ndarray:
+    def _room(self, name: str, shape: tuple[int, ...], kind: type = np.float32) -> np.ndarray:
         """An array that is written over in each step: fresh memory for each costs more than what is computed."""
         held = self.room.get(name)
         if held is None or len(held) < shape[0]:
-            held = self.room[name] = np.empty(shape, np.float32)
+            held = self.room[name] = np.empty(shape, kind)
         return held[: shape[0]]
 
     def _rows(self, name: str, of: np.ndarray, rows: np.ndarray) -> np.ndarray:
         return np.take(of, rows, axis=0, out=self._room(name, (len(rows), of.shape[1])), mode="clip")
 
-    def gradient(self, windows: np.ndarray, rng: np.random.Generator) -> dict[str, np.ndarray]:
-        """Slopes of the NCE objective, the mean over windows (positions, context + 1): what follows stands last. Noise for the group is
-        drawn once for all positions, noise within a group once for the positions that it follows, so that both are matrix products."""
-        windows = windows[_order(windows[:, -1])]  # groups are ranges of symbols, so positions of a group lie together
-        contexts, target, b = np.ascontiguousarray(windows[:, :-1].T), windows[:, -1], len(windows)
-        word, near, vectors, of_group = self.p["word"], self.p["near"], self.p["target"], self.p["group"]
-        held = [self._rows(f"held {c}", word, rows) for c, rows in enumerate(contexts)]
-        h, some = np.multiply(held[0], near[0], out=self._room("h", held[0].shape)), self._room("some", held[0].shape)
-        for x, k in zip(held[1:], near[1:], strict=True):
-            h += np.multiply(x, k, out=some)
+    def _ones(self, n: int) -> np.ndarray:
+        held = self._room("ones", (n,))
+        held.fill(1)
+        return held
+
+    def _add_rows(self, to: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+        """Adds each row of values to its row of `to`; two numbers are added as one complex one, which takes half as many sums."""
+        if values.shape[1] % 2 == 0:
+            to, values = to.view(np.complex64), values.view(np.complex64)
+        width = to.shape[1]
+        at = np.add((rows * np.int64(width))[:, None], np.arange(width), out=self._room(f"at {width}", values.shape, np.int64))
+        np.add.at(to.reshape(-1), at.reshape(-1), values.reshape(-1))
+
+    def gradient(self, windows: np.ndarray | tuple[np.ndarray, np.ndarray], rng: np.random.Generator) -> dict[str, np.ndarray]:
+        """Slopes of the NCE objective, the mean over windows (positions, context + 1): what follows stands last. Or, of texts as they stand, over
+        places (the second array) in a line of symbols (the first): neighbours share their contexts, so that each symbol's vector is
+        read and its slope added once. Noise for the group is drawn once for all positions, noise within a group once for the
+        positions that it follows, so that both are matrix products."""
+        near, vectors, of_group = self.p["near"], self.p["target"], self.p["group"]
+        context = len(near)
+        line, follows = windows if isinstance(windows, tuple) else _in_line(windows)
+        target = line[follows]
+        order = _order(target)  # groups are ranges of symbols, so positions of a group lie together
+        target, follows, b = target[order].astype(np.int64), follows[order] - context, len(follows)
+        x = self._rows("x", self.p["word"], line)
+        before = [x[context - 1 - c : len(line) - 1 - c] for c in range(context)]
+        each, part = np.multiply(before[0], near[0], out=self._room("each", before[0].shape)), self._room("part", before[0].shape)
+        for v, k in zip(before[1:], near[1:], strict=True):
+            each += np.multiply(v, k, out=part)
+        h = self._rows("h", each, follows)
+        some = self._room("some", h.shape)
         group = self.group_of[target]
-        firsts = np.flatnonzero(np.diff(group, prepend=-1))
-        there, ends = group[firsts], [*firsts[1:].tolist(), b]
-        noise = rng.choice(self.parts, NOISE_GROUPS, p=self.q_group / self.q_group.sum())
+        firsts = _firsts(group)
+        there, ends, size = group[firsts], [*firsts[1:].tolist(), b], np.float32(b)
+        noise = np.searchsorted(self.group_ends, rng.random(NOISE_GROUPS), "right")
         bias = self.p["group_bias"] - np.log(NOISE_GROUPS * self.q_group).astype(np.float32)
-        mine = self._rows("mine", of_group, group)
-        up = (1 - _sigmoid(np.einsum("bd,bd->b", h, mine) + bias[group])) / b
-        down = _sigmoid(h @ of_group[noise].T + bias[noise]) / -b
-        back = np.matmul(down, of_group[noise], out=self._room("back", h.shape))
+        mine, others = self._rows("mine", of_group, group), of_group[noise]
+        up = (1 - _sigmoid(np.einsum("bd,bd->b", h, mine) + bias[group])) / size
+        down = np.matmul(h, others.T, out=self._room("down", (b, NOISE_GROUPS)))
+        down += bias[noise]
+        down = _sigmoid(down)
+        down /= -size
+        back = np.matmul(down, others, out=self._room("back", h.shape))
         back += np.multiply(up[:, None], mine, out=some)
         slopes = {k: self._room(f"slope of {k}", v.shape) for k, v in self.p.items()}
         for v in slopes.values():
             v.fill(0)
         slopes["group"][there], slopes["group_bias"][there] = np.add.reduceat(np.multiply(up[:, None], h, out=some), firsts), np.add.reduceat(up, firsts)
         np.add.at(slopes["group"], noise, down.T @ h)
-        np.add.at(slopes["group_bias"], noise, down.sum(axis=0))
+        np.add.at(slopes["group_bias"], noise, self._ones(b) @ down)
         # Noise from a group, by the place of a random number among its symbols' shares.
         low, high = self.ends[self.starts[there]], self.ends[self.starts[there + 1]]
         at = np.searchsorted(self.ends, low[:, None] + rng.random((len(there), NOISE_WORDS)) * (high - low)[:, None], "right") - 1
         drawn = np.clip(at, self.starts[there][:, None], self.starts[there + 1][:, None] - 1)
         bias = self.p["bias"] - np.log(NOISE_WORDS * self.q_word).astype(np.float32)
         mine, others = self._rows("mine", vectors, target), vectors[drawn]
-        up = (1 - _sigmoid(np.einsum("bd,bd->b", h, mine) + bias[target])) / b
-        down = np.repeat(bias[drawn], np.diff(firsts, append=b), axis=0)
-        for a, z, x in zip(firsts.tolist(), ends, others, strict=True):
-            down[a:z] += h[a:z] @ x.T
-        down = _sigmoid(down) / -b
+        up = (1 - _sigmoid(np.einsum("bd,bd->b", h, mine) + bias[target])) / size
+        down = self._room("down within", (b, NOISE_WORDS))
+        spans = [slice(a, z) for a, z in zip(firsts.tolist(), ends, strict=True)]
+        for span, v in zip(spans, others, strict=True):
+            np.matmul(h[span], v.T, out=down[span])
+        down += np.repeat(bias[drawn], np.diff(firsts, append=b), axis=0)
+        down = _sigmoid(down)
+        down /= -size
         back += np.multiply(up[:, None], mine, out=some)
         false = np.empty_like(others)
-        for i, (a, z, x) in enumerate(zip(firsts.tolist(), ends, others, strict=True)):
-            back[a:z] += down[a:z] @ x
-            false[i] = down[a:z].T @ h[a:z]
-        _add_rows(slopes["target"], target, np.multiply(up[:, None], h, out=some))
-        _add_rows(slopes["bias"], target, up)
-        order, noise = _order(drawn.ravel()), drawn.ravel()
-        _add_rows(slopes["target"], noise[order], false.reshape(-1, h.shape[1])[order])
-        _add_rows(slopes["bias"], noise[order], np.add.reduceat(down, firsts).ravel()[order])
-        for c, (rows, x) in enumerate(zip(contexts, held, strict=True)):
-            order = _order(rows)
-            _add_rows(slopes["word"], rows[order], self._rows("mine", back, order), near[c])
-            slopes["near"][c] = np.einsum("bd,bd->d", back, x)
+        for span, v, out in zip(spans, others, false, strict=True):
+            some_down = down[span]
+            np.matmul(some_down, v, out=some[span])
+            np.matmul(some_down.T, h[span], out=out)
+        back += some
+        self._add_rows(slopes["target"], target, np.multiply(up[:, None], h, out=some))
+        np.add.at(slopes["bias"], target, up)
+        self._add_rows(slopes["target"], drawn.ravel(), false.reshape(-1, h.shape[1]))
+        np.add.at(slopes["bias"], drawn.ravel(), np.add.reduceat(down, firsts).ravel())
+        each.fill(0)
+        each[follows] = back
+        told = self._room("told", x.shape)
+        told.fill(0)
+        for c, v in enumerate(before):
+            slopes["near"][c] = self._ones(len(each)) @ np.multiply(each, v, out=part)
+            told[context - 1 - c : len(line) - 1 - c] += np.multiply(each, near[c], out=part)
+        self._add_rows(slopes["word"], line, told)
         return slopes
 
-    def train(self, batches: Iterator[np.ndarray], rate: float, seed: int) -> None:
+    def train(self, batches: Iterator[np.ndarray | tuple[np.ndarray, np.ndarray]], rate: float, seed: int) -> None:
         """By Adagrad, a step for each minibatch; what was seen before keeps on making steps shorter."""
         rng = np.random.default_rng(seed)
         for windows in batches:
@@ -216,27 +317,40 @@ class Network:
                 slope /= np.sqrt(self.seen[name], out=by)
                 self.p[name] += slope
 
-    def log_p(self, symbols: np.ndarray, follows: np.ndarray, at_once: int = 8192) -> np.ndarray:
+    def log_p(self, symbols: np.ndarray, follows: np.ndarray, at_once: int = 1 << 16) -> np.ndarray:
         """log10 probability of each symbol in `follows` (places in symbols) after those before it."""
         out = np.empty(len(follows))
-        context = self.p["near"].shape[0]
         weighted = self.p["word"][None] * self.p["near"][:, None]
-        to_groups = np.ascontiguousarray(self.p["group"].T)
         for a in range(0, len(follows), at_once):
             places = follows[a : a + at_once]
+            order = _order(self.group_of[symbols[places]])
+            places = places[order]
             target = symbols[places]
-            h = weighted[0].take(symbols[places - 1], axis=0)
-            for c in range(1, context):
-                h += weighted[c].take(symbols[places - 1 - c], axis=0)
+            h = self._rows("h", weighted[0], symbols[places - 1])
+            for c in range(1, len(weighted)):
+                h += self._rows("some", weighted[c], symbols[places - 1 - c])
             group = self.group_of[target]
-            found = _log_softmax(h @ to_groups, self.p["group_bias"], group)
-            order = np.argsort(group, kind="stable")
-            for g, some in zip(*_split(group[order], order), strict=True):
-                low, high = self.starts[g], self.starts[g + 1]
-                found[some] += _log_softmax(h[some] @ self.p["target"][low:high].T, self.p["bias"][low:high], target[some] - low)
-            out[a : a + at_once] = found
+            found = self._log_softmax(h, self.p["group"], self.p["group_bias"], group)
+            firsts = _firsts(group)
+            for i, z in zip(firsts.tolist(), [*firsts[1:].tolist(), len(group)], strict=True):
+                low, high = self.starts[group[i]], self.starts[group[i] + 1]
+                found[i:z] += self._log_softmax(h[i:z], self.p["target"][low:high], self.p["bias"][low:high], target[i:z] - low)
+            out[a : a + at_once][order] = found
         return out / np.log(10)
 
+    def _log_softmax(self, h: np.ndarray, vectors: np.ndarray, bias: np.ndarray, which: np.ndarray, at_once: int = 2048) -> np.ndarray:
+        """Of one of the vectors for each row of h."""
+        out = np.empty(len(h), np.float32)
+        for a in range(0, len(h), at_once):
+            n = len(which[a : a + at_once])
+            scores = np.matmul(vectors, h[a : a + at_once].T, out=self._room("scores", (len(vectors) * n,)).reshape(-1, n))
+            scores += bias[:, None]
+            scores -= scores.max(axis=0)
+            out[a : a + n] = scores[which[a : a + at_once], np.arange(n)]
+            np.exp(scores, out=scores)
+            out[a : a + n] -= np.log(scores.sum(axis=0))
+        return out
+
     def flat(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.p.values()])
 
@@ -248,7 +362,11 @@ class Network:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """x is used up."""
+    np.negative(np.clip(x, -30, 30, out=x), out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def _order(keys: np.ndarray) -> np.ndarray:
@@ -256,25 +374,15 @@ def _order(keys: np.ndarray) -> np.ndarray:
     return np.argsort(keys.astype(np.uint16) if len(keys) and keys.max() < 1 << 16 else keys, kind="stable")
 
 
-def _add_rows(to: np.ndarray, rows: np.ndarray, values: np.ndarray, times: np.ndarray | float = 1.0) -> None:
-    """Adds the sums of values of like rows, which are in order, times `times`."""
-    first = np.flatnonzero(np.diff(rows, prepend=-1))
-    to[rows[first]] += np.add.reduceat(values, first, axis=0) * times
-
+def _firsts(keys: np.ndarray) -> np.ndarray:
+    """Where runs of like keys begin."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
 
-def _log_softmax(scores: np.ndarray, bias: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """Of one symbol in each row; scores are used up."""
-    scores += bias
-    scores -= scores.max(axis=1, keepdims=True)
-    one = scores[np.arange(len(scores)), which]
-    np.exp(scores, out=scores)
-    return one - np.log(scores.sum(axis=1))
 
-
-def _split(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
-    """The values of each key; keys are in order."""
-    first = np.flatnonzero(np.concatenate([[True], np.diff(keys) != 0])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first].tolist(), np.split(values, first[1:]) if len(first) else []
+def _in_line(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows one after the other, in the order of reading."""
+    b, width = windows.shape
+    return np.concatenate([windows[:, -2::-1], windows[:, -1:]], axis=1).ravel(), np.arange(b) * width + width - 1
 
 
 def _drawn(texts: DataFrame, share: float, salt: int) -> tuple[DataFrame, float]:
@@ -286,18 +394,18 @@ def _drawn(texts: DataFrame, share: float, salt: int) -> tuple[DataFrame, float]
 
 def _windows(symbols: Symbols, share: float, salt: int, batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     """Windows (positions, context + 1) of a share of all positions in the texts, by a hash of the text and the position."""
-    back = np.arange(1, CONTEXT + 1)
-    for batch in batches:
-        for at in range(0, batch.num_rows, 32):
-            rows = []
-            for text in batch.column(0).slice(at, 32).to_pylist():
-                s = symbols.of(words_of(text))
-                places = np.arange(CONTEXT, len(s))
-                if share < 1:
-                    rng = np.random.default_rng([salt, zlib.crc32(text.encode("utf-8", "surrogatepass"))])
-                    places = places[rng.random(len(places)) < share]
-                rows.append(np.concatenate([s[places[:, None] - back], s[places[:, None]]], axis=1))
-            yield np.concatenate(rows)
+    among = pa.array(list(symbols.own), pa.binary())
+    for piece in _pieces(batches):
+        words, n = words_in(piece.column(0))
+        line, places = _line(symbols.of(words, among), n)
+        if share < 1:
+            seeds = [[salt, zlib.crc32(text.encode("utf-8", "surrogatepass"))] for text in piece.column(0).to_pylist()]
+            places = places[np.concatenate([np.random.default_rng(seed).random(k + 1) < share for seed, k in zip(seeds, n.tolist(), strict=True)])]
+        windows = np.empty((len(places), CONTEXT + 1), np.int32)
+        for c in range(CONTEXT):
+            windows[:, c] = line[places - 1 - c]
+        windows[:, CONTEXT] = line[places]
+        yield windows
 
 
 def _minibatches(windows: Iterator[np.ndarray], size: int = BATCH) -> Iterator[np.ndarray]:
@@ -313,6 +421,27 @@ def _minibatches(windows: Iterator[np.ndarray], size: int = BATCH) -> Iterator[n
         yield np.concatenate(held)
 
 
+def _stretches(symbols: Symbols, batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All positions of the texts in minibatches, each a line of symbols as they stand and the places learned from."""
+    among = pa.array(list(symbols.own), pa.binary())
+    line, follows = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def cut(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = places[0] - CONTEXT
+        return line[first : places[-1] + 1], places - first
+
+    for piece in _pieces(batches):
+        words, n = words_in(piece.column(0))
+        more, places = _line(symbols.of(words, among), n)
+        line, follows = np.concatenate([line, more]), np.concatenate([follows, places + len(line)])
+        whole = len(follows) - len(follows) % size
+        for a in range(0, whole, size):
+            yield cut(follows[a : a + size])
+        line, follows = cut(follows[whole:]) if whole < len(follows) else (line[:0], follows[:0])
+    if len(follows):
+        yield line, follows
+
+
 def _sampled(symbols: Symbols, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in _minibatches(_windows(symbols, share, 1, batches), 1 << 14):
@@ -330,11 +459,11 @@ def _trainer(network: Network, symbols: Symbols, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), 0
 
-        def counted() -> Iterator[np.ndarray]:
+        def counted() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             nonlocal seen
-            for some in _minibatches(_windows(symbols, 1.0, 2, batches), TASK_BATCH):
-                seen += len(some)
-                yield some
+            for line, follows in _stretches(symbols, batches, TASK_BATCH):
+                seen += len(follows)
+                yield line, follows
 
         network.train(counted(), rate, part)
         flat = network.flat().astype(np.float64) * seen
@@ -413,6 +542,7 @@ def learn(texts: DataFrame, sample: int = SAMPLE, own: int = OWN, rate: float =
 
 
 _PARTS = "key long, word binary, times long, doc_id long, n_tokens long, n_known long, base double, score double"
+_NAMES = [part.split()[0] for part in _PARTS.split(", ")]
 
 
 def _score(frequent: dict[bytes, int], symbols: Symbols, network: Network, below: np.ndarray, divisor: float, ends: int):
@@ -420,39 +550,29 @@ def _score(frequent: dict[bytes, int], symbols: Symbols, network: Network, below
     first_class = len(symbols.own) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {w: i for i, w in enumerate(frequent)}  # one look at each word: symbol and count lie at its place
-        get, other = place.get, symbols.word_class
-        symbol_at = np.array([symbols.own.get(w) or other(w) for w in frequent] + [0], np.int32)
-        log_at, known_at = np.log10(np.array([*frequent.values(), 0]) + 1.0), np.array([n > 0 for n in frequent.values()] + [False])
-        for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                rows: list[tuple] = []
-                some = [batch.column(i).slice(at, 128).to_pylist() for i in range(3)]
-                words = [words_of(t) for t in some[2]]
-                at_place = [np.array([get(w, -1) for w in own], np.int64) for own in words]
-                each = []
-                for own, found in zip(words, at_place, strict=True):
-                    s = np.zeros(len(own) + CONTEXT + 1, np.int32)
-                    s[CONTEXT:-1] = symbol_at[found]
-                    for i in np.flatnonzero(found < 0).tolist():
-                        s[CONTEXT + i] = other(own[i])
-                    each.append(s)
-                joined = np.concatenate(each)
-                firsts = np.cumsum([0, *map(len, each)])
-                follows = np.concatenate([np.arange(a + CONTEXT, b) for a, b in zip(firsts, firsts[1:], strict=False)])
-                log_p = np.split(network.log_p(joined, follows), np.cumsum([len(e) - CONTEXT for e in each])[:-1])
-                for key, doc, own, at_words, s, found in zip(some[0], some[1], words, at_place, each, log_p, strict=True):
-                    logs = log_at[at_words]
-                    of = s[CONTEXT:-1]
-                    classed = of >= first_class
-                    score = float(found.sum() + logs[classed].sum() - below[of[classed] - first_class].sum())
-                    base = float(logs.sum() + np.log10(ends + 1.0) - (len(own) + 1) * divisor)
-                    rows.append((key, b"\xff%d" % key, 0, doc, len(own) + 1, int(known_at[at_words].sum()) + (ends > 0), base, score))
-                    rare = Counter(own[i] for i in np.flatnonzero(at_words < 0).tolist())
-                    rows += [(key, w, n, None, 0, 0, 0.0, 0.0) for w, n in rare.items()]
-                kinds = [pa.int64(), pa.binary(), *[pa.int64()] * 4, pa.float64(), pa.float64()]
-                columns = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "word", "times", "doc_id", "n_tokens", "n_known", "base", "score"])
+        among, known = pa.array(list(frequent), pa.binary()), np.array([*frequent.values(), 0])
+        symbol_at = np.append(symbols.of(among, pa.array(list(symbols.own), pa.binary())), 0)
+        log_at, known_at = np.log10(known + 1.0), known > 0
+        for piece in _pieces(batches):
+            key, n_docs = piece.column(0).to_numpy(), piece.num_rows
+            words, n = words_in(piece.column(2))
+            at_place, doc_of = _places(words, among), np.repeat(np.arange(n_docs), n)
+            rare = np.flatnonzero(at_place < 0)
+            rare_words, of = words.take(pa.array(rare)), symbol_at[at_place]
+            of[rare] = symbols.classes(rare_words)
+            log_p = network.log_p(*_line(of, n))
+            logs, classed = log_at[at_place], np.flatnonzero(of >= first_class)
+            summed = lambda values, docs=doc_of: np.bincount(docs, values, n_docs)
+            of_class = summed(logs[classed] - below[of[classed] - first_class], doc_of[classed])
+            score = np.add.reduceat(log_p, np.cumsum(n + 1) - n - 1) + of_class
+            base = summed(logs) + np.log10(ends + 1.0) - (n + 1) * divisor
+            n_known = summed(known_at[at_place]).astype(np.int64) + (ends > 0)
+            own = [pa.array([b"\xff%d" % k for k in key.tolist()], pa.binary()), pa.array(np.zeros(n_docs, np.int64)), piece.column(1)]
+            yield pa.RecordBatch.from_arrays([piece.column(0), *own, *map(pa.array, (n + 1, n_known, base, score))], _NAMES)
+            met = pa.table([pa.array(key[doc_of[rare]]), rare_words], ["key", "word"]).group_by(["key", "word"], use_threads=False).aggregate([([], "count_all")])
+            none, nothing = pa.array(np.zeros(met.num_rows, np.int64)), pa.array(np.zeros(met.num_rows))
+            others = [met[name].combine_chunks() for name in ("key", "word", "count_all")]
+            yield pa.RecordBatch.from_arrays([*others, pa.nulls(met.num_rows, pa.int64()), none, none, nothing, nothing], _NAMES)
 
     return run
 
