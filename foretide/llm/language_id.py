@@ -76,7 +76,9 @@ def _compressors(dictionaries: list[tuple[str, bytes]], level: int) -> list[tupl
     return out
 
 
-def _classify(dictionaries: list[tuple[str, bytes]], level: int, margin: float, evidence: int):
+def _classify(dictionaries: list[tuple[str, bytes]], level: int, margin: float, evidence: int, text_at: int):
+    """(row) to row, lang_pred, score, rejected, few rows at a time; text_at: the place of the text in a row."""
+
     def best(text: str | None, compressors: list) -> tuple[str, float, bool]:
         if not compressors or not text or not _letter(text):
             return UNKNOWN, 0.0, True
@@ -92,12 +94,11 @@ def _classify(dictionaries: list[tuple[str, bytes]], level: int, margin: float,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = _compressors(dictionaries, level)
         for batch in batches:
-            found: list[tuple[str, float, bool]] = []
             for at in range(0, batch.num_rows, 256):
-                found += [best(t, compressors) for t in batch.column(batch.num_columns - 1).slice(at, 256).to_pylist()]
-            lang, score, rejected = zip(*found, strict=True) if found else ((), (), ())
-            new = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], [*batch.schema.names[:-1], "lang_pred", "score", "rejected"])
+                rows = batch.column(0).slice(at, 256)
+                lang, score, rejected = zip(*[best(t, compressors) for t in rows.field(text_at).to_pylist()], strict=True)
+                new = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([rows, *new], ["row", "lang_pred", "score", "rejected"])
 
     return run
 
@@ -109,10 +110,10 @@ def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], level: int
     score, from 0 to 1, is the share by which the second best encoding is larger; equal encodings go to the language with
     more documents. rejected: `und`, or a score under `margin` on at least `evidence` bytes. Only the text is looked at.
     """
-    fields = ["row", "text_to_identify"]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(fields[0]), F.col("text").alias(fields[1]))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text_at = docs.columns.index("text") if "text" in docs.columns else [c.lower() for c in docs.columns].index("text")
     schema = f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, rejected boolean"
-    return rows.mapInArrow(_classify(dictionaries, level, margin, evidence), schema)
+    return rows.mapInArrow(_classify(dictionaries, level, margin, evidence, text_at), schema)
 
 
 def training_rows(docs: DataFrame, held_out: Column | None = None) -> DataFrame:

@@ -34,19 +34,13 @@ from foretide.llm.common import checkpointed, materialised, table, whole_text
 VOCABULARY = "byte_bpe_50k.tiktoken"
 END = 1
 SEQUENCE = 2048
-#: Words that a Python worker remembers; beyond it starts anew.
-REMEMBERED = 500_000
 
 
-class _NotApart(Exception):
-    pass
-
-
-class _Words(dict):
-    """Packed ids of " word" by word. The pattern never goes on behind a single space between other characters."""
+class _Encoder:
+    """Packed ids of whole texts. Nothing is remembered between texts: most distinct words of a corpus are met once, so that a table of
+    words takes memory and more time than it saves."""
 
     def __init__(self, path: str, added: str | None) -> None:
-        super().__init__()
         self.added: dict[str, bytes] = {}
         if added:
             with open(added, encoding="utf-8") as file:
@@ -56,35 +50,16 @@ class _Words(dict):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.ids = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
 
-    def cut(self, text: str) -> bytes:
+    def plain(self, text: str) -> bytes:
         return self.ids(text, disallowed_special=()).astype("<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        if not word or word[0].isspace() or word[-1].isspace():
-            raise _NotApart
-        packed = self.cut(" " + word)
-        if len(word) <= 64:
-            self[word] = packed
-        return packed
-
     def encode(self, text: str) -> bytes:
-        if len(self) > REMEMBERED:
-            self.clear()
         if any(x in text for x in self.added):
             return b"".join(self.added.get(x) or self.plain(x) for x in self.cuts.split(text) if x)
         return self.plain(text)
 
-    def plain(self, text: str) -> bytes:
-        first, *rest = text.split(" ")
-        if rest and (not first or first[-1].isspace()):
-            return self.cut(text)
-        try:
-            return self.cut(first) + b"".join(map(self.__getitem__, rest))
-        except _NotApart:
-            return self.cut(text)
-
 
-_WORDS: dict[tuple[str, str | None], _Words] = {}
+_ENCODERS: dict[tuple[str, str | None], _Encoder] = {}
 _PIECES = "doc_id long, start long, length long, doc_tokens long, ids_crc32 long, part long, place long, ids binary"
 
 
@@ -92,14 +67,14 @@ def _pieces(path: str, added: str | None, end: int, most: int):
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (path, added) not in _WORDS:
-            _WORDS[path, added] = _Words(path, added)
-        words, part, places = _WORDS[path, added], TaskContext.get().partitionId(), Counter()
+        if (path, added) not in _ENCODERS:
+            _ENCODERS[path, added] = _Encoder(path, added)
+        encoder, part, places = _ENCODERS[path, added], TaskContext.get().partitionId(), Counter()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = []
                 for doc, text in zip(batch.column(0).slice(at, 256).to_pylist(), batch.column(1).slice(at, 256).to_pylist(), strict=True):
-                    ids = words.encode(text) + tail
+                    ids = encoder.encode(text) + tail
                     for i in range(0, len(ids), 4 * most):
                         piece = ids[i : i + 4 * most]
                         length = len(piece) // 4

@@ -114,8 +114,8 @@ class Tagger:
         p = {"x": x, "h": rng.normal(0, 0.2, (2, hidden, 4 * hidden)), "out": rng.normal(0, 0.2, (2 * hidden, LABELS)), "b": np.zeros(LABELS), "t": np.zeros((LABELS, LABELS))}
         return cls({k: v.astype(np.float32) for k, v in p.items()})
 
-    def forward(self, chars: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """chars (batch, time) to scores (batch, time, labels). Both directions run side by side."""
+    def forward(self, chars: np.ndarray, keep: bool = True) -> tuple[np.ndarray, tuple]:
+        """chars (batch, time) to scores (batch, time, labels), and what backward() needs if it is kept. Both directions run side by side."""
         n, time = chars.shape
         both = np.stack([chars, chars[:, ::-1]])
         size = self.p["h"].shape[1]
@@ -132,7 +132,8 @@ class Tagger:
             tc = np.tanh(c)
             h = o * tc
             states[k] = h
-            steps.append((old, before, i, f, o, g, tc))
+            if keep:
+                steps.append((old, before, i, f, o, g, tc))
         joined = np.concatenate([states[:, 0], states[::-1, 1]], axis=2).transpose(1, 0, 2)
         return joined @ self.p["out"] + self.p["b"], (both, steps, joined)
 
@@ -372,7 +373,7 @@ def _scores(tagger: Tagger, pieces: list[tuple[np.ndarray, int, int]], batch: in
         for row, (i, start) in enumerate(part):
             window = pieces[i][0][start : start + WINDOW]
             chars[row, : len(window)] = window
-        scores, _ = tagger.forward(chars)
+        scores, _ = tagger.forward(chars, keep=False)
         for row, (i, start) in enumerate(part):
             _, a, b = pieces[i]
             low, high = max(a, start + quarter if start else 0), min(b, start + half + quarter)
