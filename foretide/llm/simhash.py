@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from foretide.llm.common import checkpointed, table, whole_text
 from foretide.llm.components import components
-from foretide.llm.minhash import near_duplicates
+from foretide.llm.similar import similar
 
 SHINGLE = 4
 RADIUS = 4
@@ -117,13 +117,12 @@ def similar_groups(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity:
     are ignored).
 
     Texts whose sets of shingles have a Jaccard similarity of `similarity` hundredths or more are linked, and texts without words are
-    alike. Candidates and links are those of minhash.near_duplicates(), which loses none at frequent keys. Fewer words than a
-    shingle are one shingle. A null text is empty; equal texts are one node. Empty tables give empty results.
+    alike. All links are found, by similar.similar(). Fewer words than a shingle are one shingle. A null text is empty; equal texts are
+    one node. Empty tables give empty results.
     """
     node = F.xxhash64(whole_text()).alias("node")
-    found = near_duplicates(docs.select(node.alias("doc_id"), "text"), shingle, similarity)
-    wordless = F.when(F.col("n_shingles") == 0, F.xxhash64(F.lit(""))).otherwise(F.col("component_id"))
-    groups = found.select(F.col("doc_id").alias("node"), wordless.alias("component_id")).distinct()
+    found = similar(docs.select(node.alias("id"), "text"), shingle, similarity)
+    groups = found.select(F.col("id").alias("node"), F.coalesce("label", F.xxhash64(F.lit(""))).alias("component_id"))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), node).join(groups, "node").select("doc_id", "component_id")
 
 
